@@ -208,3 +208,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         step = hook.select(F.col("node").alias("component"), F.col("next").alias("further"))
         out = out.join(step, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
     return stored(out)
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The rows of each value of a column by which a partition is sorted, one value at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        if held and held[-1].column(column)[-1].as_py() != values[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
