@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import line_dedup, mil_quality, mixing, ngram_join, pieces
+from gridloom.llm import line_dedup, merkle, mil_quality, mixing, ngram_join, pieces, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_table(spark))
+
+
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -34,8 +42,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_join, op7_sentencepiece, op8_mixing, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_url_rules, op6_merkle, op7_sentencepiece, op8_mixing, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE}
+    return {"op3_url_rules": url_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
