@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import line_dedup, merkle, mil_quality, mixing, ngram_join, pieces, url_rules
+from gridloom.llm import anisotropic_search, line_dedup, merkle, mil_quality, mixing, ngram_join, pieces, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -21,6 +26,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_table(spark))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare(table(spark, sf_dir, "documents"))
 
@@ -42,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_join, op3_url_rules, op6_merkle, op7_sentencepiece, op8_mixing, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_anisotropic_search, op2_ngram_join, op3_url_rules, op4_toxicity, op6_merkle, op7_sentencepiece, op8_mixing, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
