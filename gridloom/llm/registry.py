@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import anisotropic_search, line_dedup, merkle, mil_quality, mixing, ngram_join, pieces, toxicity, url_rules
+from gridloom.llm import anisotropic_search, line_dedup, merkle, mil_quality, mixing, ngram_join, passages, pieces, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_anisotropic_search, op2_ngram_join, op3_url_rules, op4_toxicity, op6_merkle, op7_sentencepiece, op8_mixing, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_anisotropic_search, op2_ngram_join, op3_url_rules, op4_toxicity, op5_passages, op6_merkle, op7_sentencepiece, op8_mixing, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
