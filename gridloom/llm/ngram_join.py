@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ COUNT_AT_ONCE = 4 << 20
 #: Classes and bytes of sets in a block of a tile.
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
 BITMAP_WORDS = 32
+#: Bits for each id in the filter of the documents whose sets are wanted, and at most; a full filter only lets more pass.
+FILTER_EACH, FILTER_MOST = 32, 1 << 29
 SECOND, ENTRY = 1 << 40, np.dtype([("token", "<u8"), ("key", "<i8"), ("level", "u1")])
 
 
@@ -160,18 +163,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[own]), none, none, pa.array(token[own].view(np.int64)), pa.array(rank[own])], names)
 
 
-def _payload(width: int):
-    """The set of each wanted class with its bitmap, to be sent to its tiles."""
+def _filter_bits(ids: DataFrame) -> np.ndarray:
+    """A one-hash Bloom filter over the ids of a stored table, of FILTER_MOST bits at most."""
+    bits = min(FILTER_MOST, 64 << int(np.ceil(np.log2(max(1, ids.count() * FILTER_EACH / 64)))))
+    at = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at"))
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).collect()
+    out = np.zeros(bits // 64, np.int64)
+    for word, value in words:
+        out[word] = value
+    return out.view(np.uint64)
+
+
+def _payload(width: int, bits: Broadcast):
+    """The sets of the documents that pass the filter; most others are not even split into words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bits.value
         for batch in batches:
-            keys, good, sets = batch.column("key").to_pylist(), [], []
-            for i, own in enumerate(_sets(batch.column("text"), width)):
-                if len(own) and _key(own) == keys[i]:
-                    good.append(i)
-                    sets.append(own.tobytes())
-            own = batch.take(pa.array(good, pa.int64()))
-            yield pa.RecordBatch.from_arrays([own.column("key"), own.column("tiles"), pa.array(sets, pa.binary())], ["key", "tiles", "shingles"])
+            at = batch.column("hash").to_numpy().astype(np.int64) % (len(words) * 64)
+            passes = (words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
+            own = batch.filter(pa.array(passes.astype(bool)))
+            sets = list(_sets(own.column("text"), width))
+            keys = [_key(x) if len(x) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["one", "key", "shingles"])
 
     return rows
 
@@ -279,9 +293,9 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     survivors = prefixes.select("key", "n").distinct().join(together.withColumnRenamed("node", "key"), "key")
     tiled = common.stored(_tiled(survivors, percent).join(own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("one")), "key"))
 
-    wanted = docs.join(tiled, F.col("doc_id") == F.col("one")).select("text", "key", "tiles")
-    payload = wanted.mapInArrow(_payload(width), "key long, tiles array<struct<tile:long,side:int>>, shingles binary")
-    payload = payload.select("key", "shingles", F.explode("tiles").alias("t")).select("t.tile", "t.side", "key", "shingles")
+    bits = spark.sparkContext.broadcast(_filter_bits(tiled.select(F.col("one").alias("id"))))
+    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(_payload(width, bits), "one long, key long, shingles binary")
+    payload = sets.join(tiled.hint("merge"), ["one", "key"]).select("key", "shingles", F.explode("tiles").alias("t")).select("t.tile", "t.side", "key", "shingles")
     links = payload.repartition(parts, "tile").sortWithinPartitions("tile", "key").mapInArrow(_tiles(percent), "a long, b long")
     found = common.connected_components(links)
 
