@@ -13,6 +13,7 @@ from gridloom import grid
 from gridloom.meta import FILE, ArrayMeta
 from gridloom.operators import regions
 from gridloom.plans import packing
+from gridloom.shipping import ship
 from gridloom.sources import files
 from gridloom.sources.array_source import NAME, GridSource
 
@@ -22,6 +23,8 @@ WRITTEN = {"cname": "zstd", "clevel": 1, "order": "F", "chunks": (256, 256, 256)
 
 
 def register(spark: SparkSession) -> None:
+    """Make the data source known to a session, and the package to its workers."""
+    ship(spark)
     spark.dataSource.register(GridSource)
 
 
@@ -160,6 +163,7 @@ def _write_region(spark, path, rows, cube, start, end, dtype, sparse, cast, opti
 
 
 def _write(spark, path, rows, cube, meta, start, end, sparse, merge) -> ArrayMeta:
+    ship(spark)
     parts = packing.fragments(rows, meta, start, end) if rows is not None else packing.dense_fragments(spark, cube, meta, start)
     blocks = packing.assembled(parts, meta, path, merge, sparse, packing.tasks_for(spark, meta, start, end))
     _publish(blocks, path, meta, overwrite=not merge)
