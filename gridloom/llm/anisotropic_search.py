@@ -159,6 +159,7 @@ def valid(embeddings: DataFrame) -> DataFrame:
 def search(embeddings: DataFrame, is_query: Column, k: int = 20, fit: int = FIT) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other vectors of every vector that is_query (on vec_id) picks."""
     spark = embeddings.sparkSession
+    common.prepare(spark)
     rows = common.stored(valid(embeddings))
     n, n_queries = rows.count(), rows.where(is_query).count()
     schema = "query_id long, vec_id long, score double"

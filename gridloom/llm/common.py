@@ -11,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.shipping import ship
+
 #: Rows and bytes of one Arrow batch sent to a Python worker; a longer text travels alone.
 ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 #: Bytes of text that numpy handles at once; a longer text is handled alone.
 CHUNK_BYTES = 1 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep what one Arrow batch holds small, whatever the length of the texts."""
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and keep what one Arrow batch holds small, whatever the length of the texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

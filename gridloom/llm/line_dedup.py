@@ -31,7 +31,7 @@ LINE_SCHEMA = "high long, low long, backwards long, version long, position int"
 
 def _versions(documents: DataFrame) -> DataFrame:
     docs = common.texts(documents).withColumn("text", F.coalesce("text", F.lit("")))
-    common.small_batches(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     return docs.withColumn("version", F.xxhash64("text"))
 
 
@@ -152,7 +152,7 @@ def _kept(text: str, keep: bytes | None) -> tuple[str, int, int]:
 
 def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """documents (doc_id, text and the columns of extra) with text cut down, and n_lines and n_dropped."""
-    common.small_batches(documents.sparkSession)
+    common.prepare(documents.sparkSession)
     docs = documents.where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_version", F.xxhash64("text"))
     maps = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_map_version"), F.col("keep").alias("_keep"))
     rows = docs.join(maps, (F.col("doc_id") == F.col("_doc")) & (F.col("_version") == F.col("_map_version")), "left").select("doc_id", "text", *extra, "_keep")

@@ -149,7 +149,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, labels: DataFrame, column: str = "quality", limit: int = FIT_DOCUMENTS) -> Model:
     """Fit on at most limit labelled documents outside the held-out fold, those with the smallest hash of their id."""
     docs = common.texts(documents)
-    common.small_batches(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     label = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(column).cast("double").alias("label")).where("label_id is not null and label is not null")
     label = label.where(~common.held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
     chosen = label.orderBy(F.xxhash64("label_id"), "label_id").limit(limit)  # bounded by limit, so it may be broadcast
@@ -169,7 +169,7 @@ def score(documents: DataFrame, model: Model, keep: str = "") -> DataFrame:
             names = [n for n in batch.schema.names if n != "text" or keep]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], [*names, "score"])
 
-    common.small_batches(documents.sparkSession)
+    common.prepare(documents.sparkSession)
     if keep:
         return documents.mapInArrow(scored, f"{keep}, score double")
     return common.texts(documents).mapInArrow(scored, "doc_id long, score double")

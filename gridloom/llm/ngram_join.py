@@ -272,7 +272,7 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     """doc_id, n_shingles and component_id of every document: linked where 100 |A and B| >= percent |A or B|."""
     docs = common.texts(documents)
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.prepare(spark)
     parts = common.partitions(spark)
     first = common.stored(docs.select("doc_id", "text").mapInArrow(_classes(width), "doc_id long, n long, key long, token long, seen long"))
     own = first.where("doc_id is not null").select("doc_id", "n", "key")

@@ -162,7 +162,7 @@ def _lists(codes: list[bytes]) -> pa.ListArray:
 def encode(documents: DataFrame, model: str = MODEL, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns of extra, and ids: the array of piece ids."""
     spark = documents.sparkSession
-    common.small_batches(spark)
+    common.prepare(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(model))  # as large as the vocabulary file
     rows = documents.where("doc_id is not null").select("doc_id", "text", *extra)
     name = uuid.uuid4().hex

@@ -201,7 +201,7 @@ def _frequencies(terms: np.ndarray):
 def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = FIT_DOCUMENTS) -> Index:
     """Index at most limit labelled documents outside the held-out fold; frequencies are over all documents."""
     docs = common.texts(documents)
-    common.small_batches(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     label = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(column).cast("double").alias("label")).where("label_id is not null and label is not null")
     label = label.where(~common.held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
     chosen = label.orderBy(F.xxhash64("label_id"), "label_id").limit(limit)  # bounded by limit, so it may be broadcast
@@ -232,7 +232,7 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit:
 def score(documents: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """doc_id, score, and the evidence nearest examples with their cosines, of every document."""
     docs = common.texts(documents)
-    common.small_batches(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by FIT_DOCUMENTS and TERMS
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
