@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": url_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op2_ngram_join": ngram_join.ORACLE, "op3_url_rules": url_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
