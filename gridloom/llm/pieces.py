@@ -64,7 +64,11 @@ class Vocabulary:
                     raise ValueError("pieces that span words are not supported")
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
-        self.longest = max(map(len, self.ids))
+        self.codes = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        self.reach: dict[str, int] = {}  # longest piece that ends in two characters
+        for p in self.ids:
+            if len(p) > 1:
+                self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
 
 
 class Encoder:
@@ -99,9 +103,8 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode sorted distinct words, reusing the states of the prefix that each shares with the one before."""
-        ids, longest, byte_ids = self.v.ids, self.v.longest, self.v.byte_ids
+        ids, pairs, reach = self.v.ids, self.pairs, self.v.reach
         last: list[str] = [""]  # last[i]: last piece of the first i characters
-        codes: list[bytes] = [b""]  # and the ids of all of them
         shown = ""
         for word in words:
             k = 0
@@ -109,28 +112,30 @@ class Encoder:
                 if a != b:
                     break
                 k += 1
-            del last[k + 1 :], codes[k + 1 :]
+            del last[k + 1 :]
             for i in range(k + 1, len(word) + 1):
-                for start in range(max(0, i - longest), i):
+                for start in range(max(0, i - reach.get(word[i - 2 : i], 1)) if i > 1 else 0, i):
                     piece = word[start:i]
-                    if piece in ids and self.stable(last[start], piece):
-                        last.append(piece)
-                        codes.append(codes[start] + ids[piece].to_bytes(4, "little") if i < 256 else b"")
-                        break
+                    if piece in ids:
+                        before = last[start]
+                        good = pairs.get((before, piece))
+                        if good or good is None and self.stable(before, piece):
+                            last.append(piece)
+                            break
                 else:
                     last.append(word[i - 1])
-                    codes.append(codes[i - 1] + b"".join(byte_ids[x].to_bytes(4, "little") for x in word[i - 1].encode()) if i < 256 else b"")
-            self.words[word] = codes[-1] if len(word) < 256 else self._walked(word, last)
+            self.words[word] = self._walked(word, last)
             shown = word
 
     def _walked(self, word: str, last: list[str]) -> bytes:
-        """Ids of a long word by walking back over its states, which costs no copies."""
-        out, i = [], len(word)
+        """Ids of a word by walking back over its states."""
+        out, i, codes = [], len(word), self.v.codes
         while i:
             piece = last[i]
-            out.append(self.v.ids[piece].to_bytes(4, "little") if piece in self.v.ids else b"".join(self.v.byte_ids[x].to_bytes(4, "little") for x in piece.encode()))
+            out.append(codes.get(piece) or b"".join(self.v.byte_ids[x].to_bytes(4, "little") for x in piece.encode()))
             i -= len(piece)
-        return b"".join(reversed(out))
+        out.reverse()
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
