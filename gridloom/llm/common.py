@@ -184,28 +184,65 @@ def shingles(chunk: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
 # --- connected components ---------------------------------------------------------------------
 
 
+#: Edges that one call contracts at a time.
+EDGES_AT_ONCE = 1 << 18
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges with the same components as this partition's, one at most for each node of so many edges."""
+
+    def contracted(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[x], label[y])
+            fresh = label.copy()
+            np.minimum.at(fresh, label[x], low)
+            np.minimum.at(fresh, label[y], low)
+            while not np.array_equal(jumped := fresh[fresh], fresh):
+                fresh = jumped
+            if np.array_equal(fresh, label):
+                break
+            label = fresh
+        other = label != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[label[other]]), pa.array(nodes[other])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(h.num_rows for h in held) >= EDGES_AT_ONCE:
+            yield contracted(*(np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1)))
+            held = []
+    if held:
+        yield contracted(*(np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1)))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every end of an edge (a, b); component is one of the component's nodes.
 
-    Each round hooks every node to the least of its neighbours and itself, jumps once more, and
-    contracts the edges by that. Nodes should be hashes: then the edges left shrink by a constant
-    factor a round. The least neighbour is aggregated before the shuffle, so hubs are no hot keys
-    there; the joins that follow may be split by adaptive execution.
+    Each round contracts what edges of one partition connect, hooks every node to the least of its
+    neighbours and itself, jumps once more, and contracts the edges by that. Nodes should be hashes: then
+    the edges left shrink by a constant factor a round. The least neighbour is aggregated before the
+    shuffle, so hubs are no hot keys there; the joins that follow may be split by adaptive execution.
     """
-    left = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    prepare(edges.sparkSession)
+    left = edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long")
+    left = stored(left.distinct().mapInArrow(_forest, "a long, b long"))
     nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
     hooks: list[DataFrame] = []
     while not left.isEmpty():
         if len(hooks) == rounds:
             raise RuntimeError(f"components not found in {rounds} rounds")
         both = left.union(left.select("b", "a")).toDF("node", "next")
-        hook = stored(both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("next")))
+        hook = both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("next"))
         jump = hook.alias("x").join(hook.alias("y"), F.col("x.next") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.next").alias("next"))
         hook = stored(jump)
         hooks.append(hook)
         a = left.join(hook.select(F.col("node").alias("a"), F.col("next").alias("a2")), "a")
         b = a.join(hook.select(F.col("node").alias("b"), F.col("next").alias("b2")), "b")
-        left = stored(b.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a < b").distinct())
+        further = b.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct()
+        left = stored(further.mapInArrow(_forest, "a long, b long"))
     out = nodes.withColumn("component", F.col("node"))
     for hook in hooks:
         step = hook.select(F.col("node").alias("component"), F.col("next").alias("further"))

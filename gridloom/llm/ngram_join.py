@@ -38,7 +38,7 @@ COUNT_AT_ONCE = 4 << 20
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
 BITMAP_WORDS = 32
 #: Bits for each id in the filter of the documents whose sets are wanted, and at most; a full filter only lets more pass.
-FILTER_EACH, FILTER_MOST = 32, 1 << 29
+FILTER_EACH, FILTER_MOST = 32, 1 << 28
 SECOND, ENTRY = 1 << 40, np.dtype([("token", "<u8"), ("key", "<i8"), ("level", "u1")])
 
 
@@ -167,10 +167,9 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     """A one-hash Bloom filter over the ids of a stored table, of FILTER_MOST bits at most."""
     bits = min(FILTER_MOST, 64 << int(np.ceil(np.log2(max(1, ids.count() * FILTER_EACH / 64)))))
     at = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at"))
-    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).collect()
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
-    for word, value in words:
-        out[word] = value
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
@@ -247,7 +246,8 @@ def _tiled(survivors: DataFrame, percent: int) -> DataFrame:
     bands = s.groupBy("component", "band").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     bands = bands.withColumn("blocks", F.ceil(F.greatest(F.col("m") / BLOCK_SETS, F.col("total") * 8 / BLOCK_BYTES)))
     by_component = bands.groupBy("component").agg(F.sum("m").alias("all_m"), F.sum("total").alias("all_total"), F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
-    s = s.join(by_component, "component")
+    # Stored, so that the join's two sides are dealt anew and adaptive execution may split a large component.
+    s = s.join(common.stored(by_component), "component")
     own = F.col("blocks")[F.col("band")]
     s = s.withColumn("i", F.pmod(F.xxhash64("key"), own)).withColumn("own", own)
     none = F.lit(0).cast("long")
