@@ -14,7 +14,7 @@ from gridloom.meta import FILE, ArrayMeta
 from gridloom.operators import regions
 from gridloom.plans import packing
 from gridloom.shipping import ship
-from gridloom.sources import files
+from gridloom.sources import files, journal
 from gridloom.sources.array_source import NAME, GridSource
 
 #: Defaults of created arrays, and of arrays written without metadata before.
@@ -22,17 +22,23 @@ CREATED = {"cname": "lz4", "clevel": 5, "order": "F", "chunks": (256, 256, 256)}
 WRITTEN = {"cname": "zstd", "clevel": 1, "order": "F", "chunks": (256, 256, 256)}
 
 
-def register(spark: SparkSession) -> None:
-    """Make the data source known to a session, and the package to its workers."""
+def register(spark: SparkSession, pushdown: bool = False) -> None:
+    """Make the data source known to a session, and the package to its workers.
+
+    With pushdown, the session offers predicates to Python data sources from then on, which Spark does not by default.
+    """
     ship(spark)
     spark.dataSource.register(GridSource)
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def open_array(path: str) -> ArrayMeta:
-    return ArrayMeta.load(path)
+    return journal.opened(path)
 
 
 def exists(path: str) -> bool:
+    journal.recover(path)
     return os.path.isfile(os.path.join(os.path.expanduser(path), FILE))
 
 
@@ -65,7 +71,7 @@ def read_array(spark: SparkSession, path: str, start=None, end=None, *, bbox=Non
     path = os.path.expanduser(path)
     if not exists(path):
         raise FileNotFoundError(f"metadataFileMissing:{os.path.join(path, FILE)}")
-    register(spark)
+    register(spark, pushdown)
     read = spark.read.format(NAME).option("view", view).option("sparse", sparse).option("rebase", rebase).option("pushdown", pushdown)
     read = read.option("min_partitions", spark.sparkContext.defaultParallelism)
     for key, value in (("start", start), ("end", end), ("bbox", bbox)):

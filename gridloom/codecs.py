@@ -1,7 +1,7 @@
 """Compressed chunks: block frames with byte shuffling, gzip and zlib streams, and the checksum of shard indexes.
 
 The frame layout follows the public format description; interoperation with frames of other writers could
-not be tried offline.
+not be tried offline, but the tests hold hand-made frames of several blocks and streams.
 """
 
 from __future__ import annotations
@@ -53,9 +53,59 @@ def _compress(data: bytes, cname: str, level: int) -> bytes | None:
         return zlib.compress(data, level)
     if cname == "zstd":
         return zstandard.ZstdCompressor(level=max(1, 2 * level - 1) if level < 9 else 22, write_content_size=True).compress(data)
+    if cname == "blosclz":
+        return _matched(data)
     return None
 
 
+#: Fixed values of the LZ77 streams of code 0: shortest match, longest near distance less one, longest literal run.
+SHORTEST, NEAR, LITERALS = 3, 8191, 32
+
+
+def _matched(data: bytes) -> bytes | None:
+    """Encode as code 0: the last place with the same four bytes is each position's match.
+
+    Positions in a row with the same distance are one match, so lengths need no comparison of bytes. A stream
+    starts and ends with literals.
+    """
+    n = len(data)
+    if n < 16:
+        return None
+    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
+    four = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+    order = np.argsort(four, kind="stable")
+    same = four[order][1:] == four[order][:-1]
+    distance = np.zeros(n - 3, np.int64)
+    distance[order[1:][same]] = (order[1:] - order[:-1])[same]
+    distance[distance > NEAR + (1 << 16)] = 0
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(distance)) + 1, [n - 3]])
+    out, done = bytearray(), 0
+
+    def literals(end: int) -> None:
+        for a in range(done, end, LITERALS):
+            piece = data[a : min(end, a + LITERALS)]
+            out.append(len(piece) - 1)
+            out.extend(piece)
+
+    for a, b, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), distance[cuts[:-1]].tolist(), strict=True):
+        a, end = max(a, done, 1), min(b + 3, n - 2)
+        far = d > NEAR
+        if not d or end - a < (6 if far else SHORTEST + 1):
+            continue
+        literals(a)
+        more = end - a - SHORTEST
+        low = 31 << 8 | 255 if far else d - 1
+        out.append((min(more, 6) + 1) << 5 | low >> 8)
+        if more >= 6:
+            out.extend(b"\xff" * ((more - 6) // 255) + bytes([(more - 6) % 255]))
+        out.append(low & 255)
+        if far:
+            out.extend((d - 1 - NEAR).to_bytes(2, "big"))
+        done = end
+    literals(n)
+    return bytes(out)
+
+
 def _run_lengths(data: bytes, size: int) -> bytes:
     """Decode the LZ77 streams of code 0: literal runs, and matches of up to 16-bit distances."""
     out, i = bytearray(), 1

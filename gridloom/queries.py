@@ -1,15 +1,19 @@
 """A query for each operator of the array engine, over volumes made of the test tables, with its SQL.
 
 The volumes: orders, f8, 25 x 24 x n by order key; part sizes, u1, likewise; counts of line items, u2;
-embeddings, f4, one row of cells for each vector.
+embeddings, f4, one row of cells for each vector; event values, f8, whose last slab is cut off. Regions are
+cut to the shape of the volume at hand.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +27,18 @@ BOX = ((3, 5, 2), (20, 17, 21))
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share."""
+    """A new path in the folder that all executors share; in local mode one of our own where none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.removeprefix('file://') if shared else tempfile.mkdtemp(prefix='gridloom-')}/array-{uuid.uuid4().hex}"
 
 
+def box_in(shape: grid.Triple) -> tuple[grid.Triple, grid.Triple]:
+    """BOX as far as it lies within a shape."""
+    return BOX[0], tuple(map(min, BOX[1], shape))  # type: ignore[return-value]
+
+
 def _dense(rows: DataFrame, key: str, value: str, dtype: str) -> tuple[DataFrame, tuple, str]:
     last = rows.agg(F.max(key)).first()[0]
     k = F.col(key).cast("bigint")
@@ -56,6 +67,10 @@ def vectors(spark: SparkSession, sf_dir: str):
     return rows.select("d0", F.col("d1").cast("bigint"), F.lit(0).cast("bigint").alias("d2"), F.col("value").cast("float")), (a + 1, b + 1, 1), "<f4"
 
 
+def events(spark: SparkSession, sf_dir: str):
+    return _dense(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id", "value", "<f8")
+
+
 def stored(spark: SparkSession, volume: tuple, **options) -> str:
     voxels, shape, dtype = volume
     path = scratch(spark)
@@ -72,21 +87,32 @@ def roundtrip(make, **options) -> Query:
     return query
 
 
-def reading(**options) -> Query:
-    return lambda spark, sf_dir: api.read_array(spark, stored(spark, orders(spark, sf_dir)), **options)
+def reading(layout: dict | None = None, **options) -> Query:
+    return lambda spark, sf_dir: api.read_array(spark, stored(spark, orders(spark, sf_dir), **(layout or {})), **options)
+
+
+def reading_box(one_based: bool = False, rebase: bool = False, **layout) -> Query:
+    """BOX of the volume of orders, stored in a layout."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        volume = orders(spark, sf_dir)
+        start, end = box_in(volume[1])
+        path = stored(spark, volume, **layout)
+        if one_based:
+            return api.read_array(spark, path, bbox=(*(a + 1 for a in start), *end))
+        return api.read_array(spark, path, start, end, rebase=rebase)
+
+    return query
 
 
 def pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicates on coordinates prune chunks where Spark offers them, and hold in any case."""
-    path = stored(spark, orders(spark, sf_dir))
-    offers = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
-    return regions.region(api.read_array(spark, path, pushdown=offers), *BOX)
+    """Predicates on coordinates prune chunks before any file is opened, and hold in any case."""
+    return regions.region(api.read_array(spark, stored(spark, orders(spark, sf_dir)), pushdown=True), *BOX)
 
 
 def missing_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every other order only, so that many cells and a few chunks are missing."""
-    voxels, shape, dtype = orders(spark, sf_dir)
-    return api.read_array(spark, stored(spark, (voxels.where("d2 % 32 < 7"), shape, dtype), fill_value=-3, order="C"))
+    """The last events end within a slab: cells are missing there, and with chunks of one slab whole chunks."""
+    return api.read_array(spark, stored(spark, events(spark, sf_dir), chunks=(16, 16, 1), fill_value=-3, order="C"))
 
 
 def metadata_only(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +154,65 @@ def region_write(start: grid.Triple, end: grid.Triple, **options) -> Query:
 
 def region_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A region of an array that is not there makes one that reaches to the region's end."""
-    voxels, _, dtype = orders(spark, sf_dir)
+    voxels, shape, dtype = orders(spark, sf_dir)
     path = scratch(spark)
-    api.write_array(spark, path, voxels.where("d0 >= 2 and d0 < 9 and d1 < 10 and d2 < 2"), start=(2, 0, 0), end=(9, 10, 2), dtype=dtype, chunks=(4, 4, 4))
+    api.write_array(spark, path, voxels.where("d0 >= 2"), start=(2, 0, 0), end=shape, dtype=dtype, chunks=(4, 4, 4))
+    return api.read_array(spark, path)
+
+
+def bbox_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box counted from 1, written over an array of another type: its cells are cast to the stored type."""
+    voxels, shape, _ = parts(spark, sf_dir)
+    path = stored(spark, (voxels, shape, "<f4"), order="C")
+    start, end = (4, 5, 0), (20, 17, shape[2])
+    new = voxels.where(regions.inside(start, end)).withColumn("value", (F.col("value") * 7 + 0.5).cast("double"))
+    api.write_array(spark, path, new, bbox=(*(a + 1 for a in start), *end), cast=True)
+    return api.read_array(spark, path)
+
+
+def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole write that keeps the layout of the array that was there; the layout comes with the cells."""
+    voxels, shape, dtype = orders(spark, sf_dir)
+    path = stored(spark, parts(spark, sf_dir), order="C", cname="gzip", dimension_separator="/", chunks=(8, 8, 8))
+    api.write_array(spark, path, voxels, shape=shape, dtype=dtype, inherit=True)
+    layout = api.describe_array(spark, path).select("order", "cname", "dimension_separator", F.col("chunks")[0].alias("chunk"))
+    return api.read_array(spark, path).crossJoin(F.broadcast(layout))  # one row
+
+
+def chunk_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of every stored chunk, those beyond the shape too: they hold the fill value."""
+    rows = api.read_array(spark, stored(spark, parts(spark, sf_dir), fill_value=7, order="C"), view="chunks")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c0, c1, c2, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                d = np.indices((16, 16, 16)).reshape(3, -1) + 16 * np.array([[c0], [c1], [c2]])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in d.astype(np.int64)), pa.array(np.frombuffer(payload, np.uint8).astype(np.int32))], ["d0", "d1", "d2", "byte"])
+
+    return rows.select("c0", "c1", "c2", "payload").mapInArrow(spread, "d0 long, d1 long, d2 long, byte int")
+
+
+def foreign_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that another writer compressed: gzip files of two members, and zlib streams under gzip's name."""
+    path = stored(spark, orders(spark, sf_dir), cname="gzip")
+    names = regions.chunk_list(spark, api.open_array(path)).select("name")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
+        import zlib
+
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                place = os.path.join(path, name)
+                if os.path.exists(place):
+                    with open(place, "rb") as f:
+                        data = gzip.decompress(f.read())
+                    half = len(data) // 2
+                    with open(place, "wb") as f:
+                        f.write(zlib.compress(data) if name.endswith("0") else gzip.compress(data[:half]) + gzip.compress(data[half:]))
+            yield batch
+
+    names.mapInArrow(again, "name string").count()
     return api.read_array(spark, path)
 
 
@@ -141,10 +223,33 @@ def cast_on_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", F.col("value").cast("int"))
 
 
+KINDS = ("u1", "u2", "f4", "f8")
+
+
 def cast_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same conversions as columns."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") / 1e4).alias("v"), (F.col("o_orderkey") * 37 - 1000).cast("int").alias("n"))
-    return rows.select("o_orderkey", coordinates.cast_stored(F.col("v"), "f8", "u2").alias("float_to_u2"), coordinates.cast_stored(F.col("n"), "u2", "u1").cast("int").alias("int_to_u1"), coordinates.cast_stored(F.col("n"), "u2", "f8").alias("int_to_f8"))
+    """The conversions between all types as columns."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    n = (F.col("o_orderkey") * 37).cast("bigint")
+    x = F.col("o_totalprice") / 1e4
+    given = {"u1": (n % 256).cast("smallint"), "u2": (n % 65536).cast("int"), "f4": x.cast("float"), "f8": x}
+    rows = rows.select("o_orderkey", *(c.alias(k) for k, c in given.items()))
+    out = {f"{a}_to_{b}": coordinates.cast_stored(F.col(a), a, b) for a in KINDS for b in KINDS if a != b}
+    return rows.select("o_orderkey", *((c if k.endswith(("f4", "f8")) else c.cast("int")).alias(k) for k, c in out.items()))
+
+
+def cast_stored_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversions by writes: volumes of every type read back, and written as every other type."""
+    out = None
+    for a in KINDS:
+        voxels, shape, _ = parts(spark, sf_dir)
+        voxels = voxels.withColumn("value", (F.col("value") * 5 + 0.25).cast({"u1": "smallint", "u2": "int", "f4": "float", "f8": "double"}[a]))
+        given = api.read_array(spark, stored(spark, (voxels, shape, f"<{a}" if a != "u1" else "|u1")))
+        for b in KINDS:
+            if a != b:
+                got = api.read_array(spark, stored(spark, (given, shape, f"<{b}" if b != "u1" else "|u1"), fill_value=0))
+                got = got.select(F.lit(f"{a}_to_{b}").alias("cast"), "d0", "d1", "d2", F.col("value").cast("double").alias("value"))
+                out = got if out is None else out.union(got)
+    return out
 
 
 SHARDED = {"chunks": (32, 32, 32), "chunk_shape": (16, 16, 16)}
@@ -176,14 +281,16 @@ def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What results being DataFrames is for: an aggregation by chunk over a region."""
-    rows = api.read_array(spark, stored(spark, orders(spark, sf_dir)), *BOX)
-    meta = ArrayMeta(shape=(25, 24, 25), chunks=(16, 16, 16))
-    return rows.groupBy(*coordinates.chunk_coords(meta)).agg(F.count("*").alias("cells"), F.min("value").alias("least"), F.max("value").alias("most"))
+    volume = orders(spark, sf_dir)
+    path = stored(spark, volume)
+    rows = api.read_array(spark, path, *box_in(volume[1]))
+    return rows.groupBy(*coordinates.chunk_coords(api.open_array(path))).agg(F.count("*").alias("cells"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voxels, shape, _ = orders(spark, sf_dir)
-    return regions.fill_missing(voxels.where("d1 % 2 = 0"), (0, 0, 0), (25, 24, min(2, shape[2])), -1.0)
+    """All cells of the volume of part sizes, whose last slab is cut off."""
+    voxels, shape, _ = parts(spark, sf_dir)
+    return regions.fill_missing(voxels.withColumn("value", F.col("value").cast("int")), (0, 0, 0), shape, -1.0)
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,11 +320,14 @@ def queries() -> dict[str, Query]:
         "sep_slash": roundtrip(orders, dimension_separator="/"),
         "subfolders": roundtrip(orders, subfolders=(2, 0, 1)),
         "big_endian": roundtrip(orders, dtype=">f8"),
-        "region_read": reading(start=BOX[0], end=BOX[1]),
+        "region_read": reading_box(),
+        "region_read_c_order": reading_box(order="C"),
+        "region_read_slash": reading_box(dimension_separator="/"),
+        "region_read_subfolders": reading_box(subfolders=(2, 0, 1), order="C"),
         "region_start_only": reading(start=(20, 20, 1)),
         "region_end_only": reading(end=(9, 24, 2)),
-        "bbox_1based": reading(bbox=(4, 6, 3, 20, 17, 21)),
-        "rebase": reading(start=BOX[0], end=BOX[1], rebase=True),
+        "bbox_1based": reading_box(one_based=True),
+        "rebase": reading_box(rebase=True),
         "axis_swap": reading(swap_axes=True),
         "pushdown_read": pushed,
         "missing_fill": missing_fill,
@@ -229,9 +339,14 @@ def queries() -> dict[str, Query]:
         "region_write_c_order": region_write((5, 3, 1), (23, 20, 17), order="C"),
         "region_create": region_create,
         "shard_roundtrip": roundtrip(orders, **SHARDED),
-        "shard_region_read": lambda spark, sf_dir: api.read_array(spark, stored(spark, orders(spark, sf_dir), **SHARDED), *BOX),
+        "shard_region_read": reading_box(**SHARDED),
         "shard_region_write": region_write((5, 3, 1), (23, 20, 17), **SHARDED),
+        "bbox_write": bbox_write,
+        "inherited_layout": inherited,
+        "chunk_bytes": chunk_bytes,
+        "foreign_streams": foreign_streams,
         "cast_on_write": cast_on_write,
+        "cast_stored_arrays": cast_stored_arrays,
         "cast_columns": cast_columns,
         "chunk_list": chunk_list,
         "chunk_paths": chunk_paths,
@@ -268,8 +383,8 @@ def oracle_sql() -> dict[str, str]:
         return ", ".join(f"({chunks.format(a, b, f'c{i}')}) AS t{i}" for i, (a, b) in enumerate(zip(low, high, strict=True)))
 
     ints = "CAST(c0 AS INTEGER) AS c0, CAST(c1 AS INTEGER) AS c1, CAST(c2 AS INTEGER) AS c2"
-    out = dict.fromkeys(["full_roundtrip_f8", *(f"codec_{c}" for c in CODECS), "order_F", "order_C", "sep_slash", "subfolders", "big_endian", "shard_roundtrip"], whole)
-    out |= dict.fromkeys(["region_read", "bbox_1based", "pushdown_read", "shard_region_read"], f"{whole} WHERE {box}")
+    out = dict.fromkeys(["full_roundtrip_f8", *(f"codec_{c}" for c in CODECS), "order_F", "order_C", "sep_slash", "subfolders", "big_endian", "shard_roundtrip", "foreign_streams"], whole)
+    out |= dict.fromkeys(["region_read", "region_read_c_order", "region_read_slash", "region_read_subfolders", "bbox_1based", "pushdown_read", "shard_region_read"], f"{whole} WHERE {box}")
     out |= dict.fromkeys(["region_write_unaligned", "region_write_c_order", "shard_region_write"], negated)
     out["full_roundtrip_u1"] = f"WITH {_cells('part', 'p_partkey', 'CAST(coalesce(p_size, 0) AS INTEGER)')} SELECT d0, d1, d2, value FROM cells"
     out["full_roundtrip_u2"] = f"{grid_of} SELECT d0, d1, d2, CAST(coalesce(n, 0) AS INTEGER) AS value {every}"
@@ -278,21 +393,32 @@ def oracle_sql() -> dict[str, str]:
     out["region_end_only"] = f"{whole} WHERE d0 < 9 AND d2 < 2"
     out["rebase"] = f"{cells} SELECT d0 - 3 AS d0, d1 - 5 AS d1, d2 - 2 AS d2, value FROM cells WHERE {box}"
     out["axis_swap"] = f"{cells} SELECT d1 AS d0, d0 AS d1, d2, value FROM cells"
-    out["missing_fill"] = f"{cells} SELECT d0, d1, d2, CASE WHEN given AND d2 % 32 < 7 THEN value ELSE -3.0 END AS value FROM cells"
+    out["missing_fill"] = f"WITH {_cells('events', 'event_id', 'value')} SELECT d0, d1, d2, CASE WHEN given THEN value ELSE -3.0 END AS value FROM cells"
     out["metadata_only"] = "SELECT k % 40 AS d0, k // 40 % 24 AS d1, k // 960 AS d2, CAST(0 AS INTEGER) AS value FROM (SELECT unnest(range(40 * 24 * 18)) AS k)"
     out["sparse_zero"] = f"{cells} SELECT d0, d1, d2, CASE WHEN d0 < 16 AND d1 < 16 AND d2 < 16 THEN 0.0 ELSE value END AS value FROM cells"
     out["sparse_read"] = "SELECT k % 32 AS d0, k // 32 % 16 AS d1, k // 512 AS d2, CAST(7 AS DOUBLE) AS value FROM (SELECT unnest(range(32 * 16 * 16)) AS k)"
     out["region_write"] = f"{cells} SELECT d0, d1, d2, CASE WHEN d0 < 16 AND d1 < 16 AND d2 < 16 AND given THEN -value ELSE value END AS value FROM cells"
-    out["region_create"] = f"{cells} SELECT d0, d1, d2, CASE WHEN d0 >= 2 THEN value ELSE 0.0 END AS value FROM cells WHERE d0 < 9 AND d1 < 10 AND d2 < 2"
+    out["region_create"] = f"{cells} SELECT d0, d1, d2, CASE WHEN d0 >= 2 THEN value ELSE 0.0 END AS value FROM cells"
     out["cast_on_write"] = f"{grid_of} SELECT d0, d1, d2, CAST(coalesce(n, 0) * 200 % 256 AS INTEGER) AS value {every}"
-    out["cast_columns"] = "SELECT o_orderkey, CAST(trunc(o_totalprice / 1e4) AS INTEGER) AS float_to_u2, CAST(((o_orderkey * 37 - 1000) % 256 + 256) % 256 AS INTEGER) AS int_to_u1, CAST(o_orderkey * 37 - 1000 AS DOUBLE) AS int_to_f8 FROM orders"
+    given = "SELECT o_orderkey, CAST(o_orderkey * 37 % 256 AS INTEGER) AS u1, CAST(o_orderkey * 37 % 65536 AS INTEGER) AS u2, CAST(o_totalprice / 1e4 AS FLOAT) AS f4, o_totalprice / 1e4 AS f8 FROM orders"
+    into = {"u1": "CAST(trunc({0}) AS INTEGER) % 256", "u2": "CAST(trunc({0}) AS INTEGER)", "f4": "CAST({0} AS FLOAT)", "f8": "CAST({0} AS DOUBLE)"}
+    out["cast_columns"] = f"SELECT o_orderkey, {', '.join(f'{into[b].format(a)} AS {a}_to_{b}' for a in KINDS for b in KINDS if a != b)} FROM ({given})"
+    sizes_at = "WITH " + _cells("part", "p_partkey", "CAST(coalesce(p_size, 0) AS INTEGER)")
+    as_kind = {"u1": "trunc(x) % 256", "u2": "trunc(x)", "f4": "x", "f8": "x"}
+    pairs = [f"SELECT '{a}_to_{b}' AS \"cast\", d0, d1, d2, CAST({as_kind[b].replace('x', as_kind[a])} AS DOUBLE) AS value FROM grown" for a in KINDS for b in KINDS if a != b]
+    out["cast_stored_arrays"] = f"{sizes_at}, grown AS (SELECT d0, d1, d2, CASE WHEN given THEN value * 5 + 0.25 ELSE 0 END AS x FROM cells) {' UNION ALL '.join(pairs)}"
+    out["bbox_write"] = f"{sizes_at} SELECT d0, d1, d2, CAST(CASE WHEN given AND d0 >= 4 AND d0 < 20 AND d1 >= 5 AND d1 < 17 THEN value * 7 + 0.5 ELSE value END AS FLOAT) AS value FROM cells"
+    out["inherited_layout"] = f"{cells} SELECT d0, d1, d2, value, 'C' AS \"order\", 'gzip' AS cname, '/' AS dimension_separator, CAST(8 AS INTEGER) AS chunk FROM cells"
+    out["chunk_bytes"] = f"""{sizes_at}, blocks AS (SELECT DISTINCT d0 // 16 AS c0, d1 // 16 AS c1, d2 // 16 AS c2 FROM cells WHERE given),
+  every AS (SELECT c0 * 16 + k // 256 AS d0, c1 * 16 + k // 16 % 16 AS d1, c2 * 16 + k % 16 AS d2 FROM blocks, (SELECT unnest(range(4096)) AS k))
+SELECT d0, d1, d2, CAST(CASE WHEN given THEN value ELSE 7 END AS INTEGER) AS byte FROM every LEFT JOIN cells USING (d0, d1, d2)"""
     out["chunk_list"] = f"SELECT {ints}, concat_ws('.', c0, c1, c2) AS name FROM {grid_rows((0, 0, 0), (3, 2, 2))}"
     out["chunk_paths"] = f"SELECT {ints}, concat(c0 // 2, '_0_', c2, '/', c0, '.', c1, '.', c2) AS path FROM {grid_rows((0, 0, 0), (3, 2, 2))}"
     out["parsed_names"] = f"SELECT concat_ws('.', c0, c1, c2) AS name, {ints} FROM {grid_rows((0, 0, 0), (3, 2, 2))}"
     out["shard_positions"] = f"SELECT {ints}, concat_ws('.', c0 // 2, c1 // 2, c2 // 2) AS shard, CAST(c0 % 2 * 4 + c1 % 2 * 2 + c2 % 2 AS INTEGER) AS position, c0 // 2 * 4 + c1 // 2 * 2 + c2 // 2 AS shard_number FROM {grid_rows((2, 0, 0), (6, 4, 2))}"
     out["chunk_view"] = f"{cells} SELECT CAST(d0 // 16 AS INTEGER) AS c0, CAST(d1 // 16 AS INTEGER) AS c1, CAST(d2 // 16 AS INTEGER) AS c2, CAST(16 * 16 * 16 * 8 AS INTEGER) AS bytes FROM cells WHERE given GROUP BY ALL"
     out["chunk_statistics"] = f"{cells} SELECT CAST(d0 // 16 AS INTEGER) AS c0, CAST(d1 // 16 AS INTEGER) AS c1, CAST(d2 // 16 AS INTEGER) AS c2, count(*) AS cells, min(value) AS least, max(value) AS most FROM cells WHERE {box} GROUP BY 1, 2, 3"
-    out["fill_missing"] = f"{cells} SELECT d0, d1, d2, CASE WHEN given AND d1 % 2 = 0 THEN value ELSE -1.0 END AS value FROM cells WHERE d2 < 2"
+    out["fill_missing"] = f"{sizes_at} SELECT d0, d1, d2, CASE WHEN given THEN value ELSE -1 END AS value FROM cells"
     out["merge_voxels"] = f"{cells} SELECT d0, d1, d2, CASE WHEN d0 >= 10 THEN -value ELSE value END AS value FROM cells WHERE given"
     sizes = {"shape": (40, 24, 18), "chunks": (16, 16, 16), "files": (3, 2, 2)}
     columns = ", ".join(f"CAST({v} AS INTEGER) AS {n}{i}" for n, values in sizes.items() for i, v in enumerate(values))

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from gridloom import grid
 from gridloom.meta import ArrayMeta
-from gridloom.sources import files
+from gridloom.sources import files, journal
 
 NAME = "gridloom"
 #: Decoded bytes of a partition, about, and rows of an Arrow batch.
@@ -57,6 +57,7 @@ class GridReader(DataSourceReader):
         self.chunks = options.get("view", "voxels") == "chunks"
         self.sparse = str(options.get("sparse", "false")).lower() == "true"
         self.rebase = str(options.get("rebase", "false")).lower() == "true"
+        self.shift = self.start if self.rebase else (0, 0, 0)
         self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.cores = int(options.get("min_partitions", 1))
 
@@ -96,7 +97,7 @@ class GridReader(DataSourceReader):
             block = np.broadcast_to(meta.fill, [y - x for x, y in zip(a, z, strict=True)])
         else:
             block = files.cells(meta, data)[tuple(slice(x - b, y - b) for x, y, b in zip(a, z, base, strict=True))]
-        shift = self.start if self.rebase else (0, 0, 0)
+        shift = self.shift
         rows = max(1, BATCH_ROWS // max(1, (z[1] - a[1]) * (z[2] - a[2])))
         for x in range(a[0], z[0], rows):
             part = block[x - a[0] : x - a[0] + rows]
@@ -111,18 +112,16 @@ class PushingReader(GridReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         start, end = list(self.start), list(self.end)
-        shift = self.start if self.rebase else (0, 0, 0)
         for f in filters:
             if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute[0] in ("d0", "d1", "d2") and isinstance(f.value, int):
                 axis = int(f.attribute[0][1])
-                value = f.value + shift[axis]
+                value = f.value + self.shift[axis]
                 if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
                     start[axis] = max(start[axis], value + isinstance(f, GreaterThan))
                 if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
                     end[axis] = min(end[axis], value + (not isinstance(f, LessThan)))
             yield f
-        if not self.rebase:
-            self.start, self.end = tuple(start), tuple(max(a, b) for a, b in zip(start, end, strict=True))
+        self.start, self.end = tuple(start), tuple(max(a, b) for a, b in zip(start, end, strict=True))
 
 
 @dataclass
@@ -134,47 +133,49 @@ class Written(WriterCommitMessage):
 
 
 class GridWriter(DataSourceArrowWriter):
-    """Publishes block files: tasks write temporary files, the driver renames them all or deletes them all."""
+    """Publishes block files: tasks write temporary files, the driver renames them by one journal or deletes them all."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.root, self.overwrite = os.path.expanduser(options["path"]), overwrite
-        self.meta = ArrayMeta.parse(json.loads(options["metadata"])) if "metadata" in options else ArrayMeta.load(self.root)
+        self.meta = ArrayMeta.parse(json.loads(options["metadata"])) if "metadata" in options else journal.opened(self.root)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         moves, gone = [], []
-        for batch in iterator:
-            for f0, f1, f2, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                place = grid.path(self.meta, self.root, (f0, f1, f2))
-                if payload is None:
-                    gone.append(place)
-                else:
-                    moves.append((files.write_temporary(self.meta, self.root, (f0, f1, f2), payload), place))
+        try:
+            for batch in iterator:
+                for f0, f1, f2, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    place = grid.path(self.meta, self.root, (f0, f1, f2))
+                    if payload is None:
+                        gone.append(place)
+                    else:
+                        moves.append((files.write_temporary(self.meta, self.root, (f0, f1, f2), payload), place))
+        except BaseException:  # Spark aborts with the messages of finished tasks alone
+            self._clear(moves)
+            raise
         return Written(moves, gone)
 
     def commit(self, messages: list[Written | None]) -> None:
         done = [m for m in messages if m is not None]
-        places = [p for m in done for _, p in m.moves] + [p for m in done for p in m.gone]
+        moves, gone = [x for m in done for x in m.moves], [x for m in done for x in m.gone]
+        places = [p for _, p in moves] + gone
         if len(set(places)) != len(places):
             self.abort(messages)
             raise RuntimeError("two tasks wrote one block")
         if self.overwrite:
-            keep = {t for m in done for t, _ in m.moves}
-            for name in list(files.present(self.root)):
-                if name not in keep:
-                    os.remove(name)
-            self.meta.save(self.root)
-        for m in done:
-            for temporary, place in m.moves:
-                os.replace(temporary, place)
-            for place in m.gone:
-                if os.path.exists(place):
-                    os.remove(place)
+            journal.recover(self.root)
+            keep = {name for move in moves for name in move}
+            gone = [name for name in files.present(self.root) if name not in keep]
+        journal.publish(self.root, self.meta if self.overwrite else None, moves, gone)
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
-            for temporary, _ in m.moves if m is not None else ():
-                if os.path.exists(temporary):
-                    os.remove(temporary)
+            self._clear(m.moves if m is not None else [])
+
+    @staticmethod
+    def _clear(moves: list[tuple[str, str]]) -> None:
+        for temporary, _ in moves:
+            if os.path.exists(temporary):
+                os.remove(temporary)
 
 
 class GridSource(DataSource):
@@ -183,11 +184,11 @@ class GridSource(DataSource):
         return NAME
 
     def schema(self) -> str:
-        meta = ArrayMeta.load(self.options["path"])
+        meta = journal.opened(self.options["path"])
         return CHUNK_VIEW if self.options.get("view", "voxels") == "chunks" else voxel_schema(meta)
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        meta = ArrayMeta.load(self.options["path"])
+        meta = journal.opened(self.options["path"])
         pushes = str(self.options.get("pushdown", "false")).lower() == "true"
         return (PushingReader if pushes else GridReader)(meta, dict(self.options))
 

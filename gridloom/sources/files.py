@@ -105,12 +105,13 @@ def write_temporary(meta: ArrayMeta, root: str, file: grid.Triple, data: bytes)
     return temporary
 
 
-_block_file = re.compile(r"\d+(\.\d+\.\d+)?(\.[0-9a-f]{32}\.tmp)?")
+_block_file = re.compile(r"(\d+_\d+_\d+/)?(\d+\.\d+\.\d+|\d+/\d+/\d+)(\.[0-9a-f]{32}\.tmp)?")
 
 
 def present(root: str) -> Iterator[str]:
     """Paths of all block files below a folder, of whatever layout, and of temporary ones left behind."""
     for folder, _, names in os.walk(root):
         for n in names:
-            if _block_file.fullmatch(n):
-                yield os.path.join(folder, n)
+            name = os.path.join(folder, n)
+            if _block_file.fullmatch(os.path.relpath(name, root).replace(os.sep, "/")):
+                yield name

@@ -223,6 +223,74 @@ def test_a_failed_write_leaves_the_array_as_it_was(spark, tmp_path):
     assert not [n for n in os.listdir(path) if n.endswith("tmp")]
 
 
+@pytest.mark.parametrize("overwrite", [True, False])
+def test_a_commit_is_all_or_nothing(spark, tmp_path, monkeypatch, overwrite):
+    """Killed before the switch the array is the old one, after it the new one, wherever between the renames."""
+    import pyarrow as pa
+
+    from gridloom.sources import journal
+    from gridloom.sources.array_source import GridWriter
+
+    old, new = rng.integers(1, 200, SHAPE).astype("u2"), rng.integers(1, 200, SHAPE).astype("u2")
+    meta = g.write_array(spark, str(tmp_path / "new"), new, chunks=(32, 32, 32) if overwrite else CHUNKS)
+    blocks = [(*map(int, n.split(".")), (tmp_path / "new" / n).read_bytes()) for n in os.listdir(tmp_path / "new") if n != ".zarray"]
+    batch = pa.RecordBatch.from_arrays([pa.array([b[i] for b in blocks]) for i in range(4)], ["f0", "f1", "f2", "payload"])
+
+    class Killed(BaseException):
+        pass
+
+    def killed(*_):
+        raise Killed
+
+    done = []
+    steps = {"fsync": ("os.fsync", killed, old), "finish": ("finish", killed, new), "moves": ("_move", lambda x: killed() if done else done.append(os.replace(*x)), new), "removals": ("_remove", killed, new)}
+    for step, (name, replacement, want) in steps.items():
+        path = str(tmp_path / step)
+        g.write_array(spark, path, old, chunks=CHUNKS)
+        writer = GridWriter({"path": path, "metadata": json.dumps(meta.document())}, overwrite)
+        messages = [writer.write(iter([batch]))]
+        with monkeypatch.context() as m:
+            m.setattr(f"gridloom.sources.journal.{name}", replacement)
+            if overwrite or step != "removals":
+                with pytest.raises(Killed):
+                    writer.commit(messages)
+            else:
+                writer.commit(messages)
+        assert same(g.to_array(spark, path), want)
+        assert not [n for n in os.listdir(path) if n.startswith(journal.PREFIX) and not n.endswith(".new")]
+        assert step == "fsync" or len([n for n in os.listdir(path) if n[0] != "."]) == len(blocks)
+
+
+def test_a_failing_task_clears_its_files(tmp_path):
+    import pyarrow as pa
+
+    from gridloom.meta import ArrayMeta
+    from gridloom.sources.array_source import BLOCK_SCHEMA, GridWriter
+
+    meta = ArrayMeta(shape=SHAPE, chunks=CHUNKS)
+    writer = GridWriter({"path": str(tmp_path), "metadata": json.dumps(meta.document())}, True)
+
+    def batches():
+        yield pa.RecordBatch.from_arrays([*(pa.array([0], pa.int32()) for _ in range(3)), pa.array([b"x"])], [f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
+        assert len(os.listdir(tmp_path)) == 1
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(batches())
+    assert os.listdir(tmp_path) == []
+
+
+def test_other_files_with_numbers_for_names_stay(spark, tmp_path):
+    path = str(tmp_path / "a")
+    g.write_array(spark, path, np.ones(SHAPE, "u2"), chunks=CHUNKS)
+    os.makedirs(f"{path}/2024")
+    for name in ("123", "2024/7"):
+        with open(f"{path}/{name}", "w") as f:
+            f.write("mine")
+    g.write_array(spark, path, np.ones((4, 4, 4), "u2"), chunks=CHUNKS, dimension_separator="/")
+    assert os.path.exists(f"{path}/123") and os.path.exists(f"{path}/2024/7") and os.path.exists(f"{path}/0/0/0") and not os.path.exists(f"{path}/0.0.0")
+
+
 def test_cast_inherit_and_dtype_of_a_region(spark, tmp_path):
     path = str(tmp_path / "a")
     g.write_array(spark, path, np.ones(SHAPE, "u1"), chunks=CHUNKS, order="C", cname="gzip")
