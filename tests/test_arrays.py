@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import os
@@ -242,8 +243,8 @@ def test_a_commit_is_all_or_nothing(spark, tmp_path, monkeypatch, overwrite):
     def killed(*_):
         raise Killed
 
-    done = []
-    steps = {"fsync": ("os.fsync", killed, old), "finish": ("finish", killed, new), "moves": ("_move", lambda x: killed() if done else done.append(os.replace(*x)), new), "removals": ("_remove", killed, new)}
+    turn = itertools.count()
+    steps = {"fsync": ("os.fsync", killed, old), "finish": ("finish", killed, new), "moves": ("_move", lambda x: killed() if next(turn) else os.replace(*x), new), "removals": ("_remove", killed, new)}
     for step, (name, replacement, want) in steps.items():
         path = str(tmp_path / step)
         g.write_array(spark, path, old, chunks=CHUNKS)
