@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 
-#: Labelled documents that the fit sees at most (those with the smallest hash of their id) and terms it keeps.
-FIT_DOCUMENTS, TERMS = 20_000, 4096
+#: Labelled documents that the fit sees at most (those with the smallest hash of their id), and how many of
+#: these are judged by the others to calibrate the scores.
+FIT_DOCUMENTS, CALIBRATE = 20_000, 4000
 #: Documents of the sample that must hold a term. Of n such terms, those whose log-likelihood ratio is
 #: at least 2 ln n - ln(pi ln n) are kept: by chance that is about one term, whatever the size of the sample.
 LEAST_DOCUMENTS = 3
@@ -86,6 +87,8 @@ class Index:
     maxima: np.ndarray  # terms x blocks
     share: float  # of label 1 among the examples
     without: float  # score of texts without any term
+    slope: float = 1.0  # of the calibration, over the log-odds of the votes
+    shift: float = 0.0
 
     def vector(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the terms that a text holds, and their normalised weights."""
@@ -122,14 +125,45 @@ class Index:
         own = np.repeat(a.ravel() - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
         return np.bincount(self.example[own], self.weight[own] * np.repeat(np.repeat(w, len(blocks)), sizes), minlength=len(self.ids))
 
+    def votes(self, best: np.ndarray, cosines: np.ndarray) -> float:
+        """Log-odds of label 1 by the neighbours' votes, weighted by squared cosine."""
+        weight = cosines**2
+        ones = (weight * self.labels[best]).sum() + PRIOR_WEIGHT * self.share
+        return float(np.log(ones / (weight.sum() + PRIOR_WEIGHT - ones)))
+
     def judge(self, words: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Score, and the neighbours behind it with their cosines."""
         at, w = self.vector(words, counts) if len(self.terms) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(at):
             return self.without, np.zeros(0, np.int64), np.zeros(0)
         best, cosines = self.nearest(at, w, NEIGHBOURS)
-        votes = cosines**2
-        return float(((votes * self.labels[best]).sum() + PRIOR_WEIGHT * self.share) / (votes.sum() + PRIOR_WEIGHT)), best, cosines
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.votes(best, cosines) + self.shift, -30, 30)))), best, cosines
+
+    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Fit slope and shift so that the odds hold for examples judged without themselves; vectors as indexed."""
+        odds = np.zeros(len(vectors))
+        for i, (at, w) in enumerate(vectors):
+            best, cosines = self.nearest(at, w, NEIGHBOURS + 1)
+            other = best != i
+            odds[i] = self.votes(best[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS])
+        own = self.labels[: len(vectors)]
+        if 0 < own.sum() < len(own):
+            self.slope, self.shift = _logistic(odds, own)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope (at least 0) and intercept of a logistic regression by Newton's method, held near (1, 0) by a weak prior."""
+    w, centre = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    design = np.column_stack([x, np.ones(len(x))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        gradient = design.T @ (p - y) + (w - centre)
+        curve = (design * (p * (1 - p))[:, None]).T @ design + np.eye(2)
+        step = np.linalg.solve(curve, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(0.0, float(w[0])), float(w[1])
 
 
 def build(ids: list[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, df: np.ndarray, n: int) -> Index:
@@ -151,6 +185,7 @@ def build(ids: list[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np
         index.pointers = np.searchsorted((at * blocks + example // BLOCK)[order], np.arange(len(terms))[:, None] * blocks + np.arange(blocks + 1))
         index.maxima = np.zeros((len(terms), blocks))
         np.maximum.at(index.maxima, (at, example // BLOCK), w)
+        index.calibrate([made[i] for i in keep[:CALIBRATE]])
     return index
 
 
@@ -219,9 +254,9 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", limit:
             for b in batches:
                 yield pd.DataFrame({"term": b["term"], "ratio": _ratio(b["ones"].to_numpy(float), b["zeros"].to_numpy(float), n1, n0)})
 
-        best = counts.mapInPandas(rated, "term long, ratio double").where(F.col("ratio") >= float(least)).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
+        best = counts.mapInPandas(rated, "term long, ratio double").where(F.col("ratio") >= float(least)).collect()  # terms of the sample, which limit bounds
         terms = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
-    frequencies = docs.mapInArrow(_frequencies(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # TERMS + 1 rows at most
+    frequencies = docs.mapInArrow(_frequencies(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term
     df = {r["term"]: r["n"] for r in frequencies}
     held = sample.mapInArrow(_held(terms), "doc_id long, label double, held binary").orderBy("doc_id").collect()  # limit rows at most, of selected terms
     vectors = [tuple(np.frombuffer(r["held"], np.uint64).reshape(2, -1)) for r in held]
@@ -233,7 +268,7 @@ def score(documents: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     """doc_id, score, and the evidence nearest examples with their cosines, of every document."""
     docs = common.texts(documents)
     common.prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by FIT_DOCUMENTS and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by FIT_DOCUMENTS
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
