@@ -1,16 +1,19 @@
-"""Document fingerprints: a Merkle tree over sentences, paragraphs and sections, with DataFrame functions alone.
+"""Document fingerprints: a Merkle tree over leaves, paragraphs, sections and the root, with DataFrame functions alone.
 
-Paragraphs are the lines of a text, sections runs of paragraphs that end where a paragraph's hash says so
-(every fourth on average), so an insertion moves few borders. A paragraph's node is the SHA-256 of its
-text, a section's that of its paragraphs' nodes, the root that of the sections' nodes. Equal texts have
-equal roots; where roots differ, sections whose nodes differ hold the edits, and in them the paragraphs.
-Leaves under the paragraphs are 64-bit hashes of sentences; the likeness of two fingerprints is the
-Jaccard similarity of their sets of leaves, 1 where the roots are equal.
+Paragraphs are the lines of a text. A paragraph is cut into leaves of LEAST to MOST characters that end at
+marks of the text itself (sentence marks, commas, blanks after some letters), so an edit moves few borders and
+a text of one line has many leaves. A leaf's node is the SHA-256 of its characters, a paragraph's that of its
+leaves' nodes, a section's (a run of paragraphs that ends where a paragraph's node says so, every fourth on
+average) that of its paragraphs' nodes, the root that of the sections' nodes. Equal texts have equal roots.
+
+Two trees are compared by descent: equal roots are equal texts; sections that both hold count as they are;
+the leaves of the others are matched, as often as both hold them. The likeness is twice the matched characters
+over the characters of both: a text whose last third is replaced is two thirds like itself.
 
 Defined cases: a null text is empty; an empty text is one empty paragraph without leaves, and its likeness
-to a text that differs is 0; rows whose doc_id is null are left out; the next document of rows that share
-a doc_id is that of the next smaller doc_id, there the row with the smallest hash of its text; a table's
-only document is its own next.
+to a text that differs is 0, as is that of two different texts of line breaks alone; rows whose doc_id is null
+are left out; the next document of rows that share a doc_id is that of the next smaller doc_id, there the row
+with the smallest hash of its text; a table's only document is its own next; repeated rows have a row each.
 """
 
 from __future__ import annotations
@@ -22,37 +25,52 @@ from gridloom.llm import common
 
 #: A section ends after one paragraph in so many.
 SECTION = 4
-BREAKS = r"\n|(?<=[.!?])[ \t]+"
+#: Characters of a leaf; a key keeps a leaf's length in its low bits.
+LEAST, MOST, LENGTH_BITS = 24, 512, 10
+#: A leaf ends after a mark and the blanks behind it, or after blanks behind one of a few frequent letters, or at MOST.
+LEAF = rf"(?s).{{{LEAST},{MOST - 8}}}?(?:[.!?,;:。！？、，；：][ \t]{{0,7}}|(?<=[aenst])[ \t]{{1,7}}|$)|.{{1,{MOST}}}"
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once: a transform over an array of one binds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _digest(kind: str, nodes: Column) -> Column:
+    return F.sha2(F.concat(F.lit(kind), F.array_join(nodes, "")).cast("binary"), 256)
+
+
+def paragraphs(text: Column) -> Column:
+    """Array of paragraphs: node, and the keys of their leaves."""
+
+    def leaf(piece: Column) -> Column:
+        key = F.shiftleft(F.xxhash64(piece), LENGTH_BITS).bitwiseOR(F.char_length(piece).cast("long"))
+        return F.struct(F.sha2(piece.cast("binary"), 256).alias("node"), key.alias("key"))
 
+    def paragraph(line: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(line, F.lit(LEAF), F.lit(0)), leaf)
+        return _bound(pieces, lambda x: F.struct(_digest("p", x["node"]).alias("node"), x["key"].alias("keys")))
 
-def leaves(text: Column) -> Column:
-    """Distinct hashes of the sentences."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, BREAKS), lambda s: s != ""), lambda s: F.xxhash64(s)))
+    return F.transform(F.split(text, "\n", -1), paragraph)
 
 
 def sections(text: Column) -> Column:
-    """Array of sections: node and the nodes of their paragraphs."""
-    nodes = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p.cast("binary"), 256))
+    """Array of sections: node, the nodes of their paragraphs, and the keys of the leaves below them."""
 
-    def cut(nodes: Column) -> Column:
-        size = F.size(nodes)
-        ends = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (F.pmod(F.xxhash64(F.get(nodes, i - 1)), F.lit(SECTION)) == 0))
-        starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: e + 1))
-        return F.zip_with(starts, ends, lambda a, b: F.slice(nodes, a, b - a + 1))
+    def cut(own: Column) -> Column:
+        size = F.size(own)
+        ends = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (F.pmod(F.xxhash64(F.get(own, i - 1)["node"]), F.lit(SECTION)) == 0))
 
-    # transform over an array of one binds the paragraphs' nodes, so that they are made once
-    runs = F.element_at(F.transform(F.array(nodes), cut), 1)
-    return F.transform(runs, lambda r: F.struct(F.sha2(F.concat(F.lit("s"), F.array_join(r, "")).cast("binary"), 256).alias("node"), r.alias("paragraphs")))
+        def section(first: Column, last: Column) -> Column:
+            return _bound(F.slice(own, first, last - first + 1), lambda x: F.struct(_digest("s", x["node"]).alias("node"), x["node"].alias("paragraphs"), F.flatten(x["keys"]).alias("keys")))
 
+        return _bound(ends, lambda e: F.zip_with(F.concat(F.array(F.lit(1)), F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda x: x + 1)), e, section))
 
-def root(tree: Column) -> Column:
-    return F.sha2(F.concat(F.lit("r"), F.array_join(tree["node"], "")).cast("binary"), 256)
+    return _bound(paragraphs(text), cut)
 
 
-def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column) -> Column:
-    both = F.size(F.array_intersect(leaves_a, leaves_b))
-    either = F.size(leaves_a) + F.size(leaves_b) - both
-    return F.when(root_a == root_b, 1.0).when(either > 0, both / either).otherwise(0.0)
+def root(tree: Column) -> Column:
+    return _digest("r", tree["node"])
 
 
 def changed(tree: Column, other: Column) -> Column:
@@ -62,9 +80,9 @@ def changed(tree: Column, other: Column) -> Column:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, root, tree and leaves of every document."""
+    """doc_id, root and tree of every document."""
     docs = common.texts(documents).withColumn("text", F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", sections(F.col("text")).alias("tree"), leaves(F.col("text")).alias("leaves")).select("doc_id", root(F.col("tree")).alias("root"), "tree", "leaves")
+    return docs.select("doc_id", sections(F.col("text")).alias("tree")).select("doc_id", root(F.col("tree")).alias("root"), "tree")
 
 
 def _followers(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -84,6 +102,66 @@ def _followers(docs: DataFrame) -> tuple[DataFrame, bool]:
     return ids.select("doc_id", "version", F.coalesce("up", "beyond").alias("after_id"), F.coalesce("up_need", "beyond_need").alias("need")), twice
 
 
+def _slim(tree: Column) -> Column:
+    """What the descent needs of a tree: a number for each section's node, and the keys of its leaves."""
+    return F.transform(tree, lambda s: F.struct(F.xxhash64(s["node"]).alias("section"), s["keys"].alias("keys")))
+
+
+def _chars(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+
+
+#: Columns of the descent: at leaves, what is left of own and edited and of own and next; in the row of a section,
+#: characters of own, edited and next and those matched with edited and next; in a document's row, its copies.
+_VALUES = ("v0", "v1", "v2", "v3", "v4", "v5")
+
+
+def _descended(rows: DataFrame) -> DataFrame:
+    """doc_id, head, copies, and the characters of the trees own, edited and next and of what own shares with either.
+
+    rows have doc_id, version, head (a string that comes through) and the slim trees. They are dealt by doc_id, and
+    no step here deals them anew. Repeated rows come out once, with their number: all counts are multiples of it.
+    """
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    trees = ("own", "edited", "next")
+
+    def row(section: Column, keys: Column, tree: str, head: Column) -> Column:
+        return F.struct(section.alias("section"), keys.alias("keys"), *(F.lit(int(t == tree)).cast("long").alias(t) for t in trees), head.alias("head"))
+
+    def tagged(tree: str) -> Column:
+        return F.transform(tree, lambda s: row(s["section"], s["keys"], tree, none))
+
+    document = F.array(row(F.lit(None).cast("long"), F.array().cast("array<bigint>"), "own", F.col("head")))
+    held = rows.select("doc_id", "version", F.inline(F.concat(document, *map(tagged, trees))))
+    held = held.groupBy("doc_id", "version", "section").agg(F.first("keys").alias("keys"), F.first("head", ignorenulls=True).alias("head"), *(F.sum(t).alias(t) for t in trees))
+
+    # Sections that both trees hold are matched as they are; what is left of either goes down to its leaves.
+    held = held.withColumns({"with_edited": F.least("own", "edited"), "with_next": F.least("own", "next"), "size": F.aggregate("keys", zero, lambda a, k: a + _chars(k))})
+
+    def values(*columns: Column) -> list[Column]:
+        return [c.alias(n) for c, n in zip([*columns, *[zero] * (len(_VALUES) - len(columns))], _VALUES, strict=True)]
+
+    of_section = F.struct(F.lit(None).cast("long").alias("leaf"), *values(*(F.col("size") * F.col(n) for n in ("own", "edited", "next", "with_edited", "with_next"))))
+    of_document = F.struct(F.lit(None).cast("long").alias("leaf"), *values(*[zero] * 5, F.col("own")))
+    left = (F.col("own") - F.col("with_edited"), F.col("edited") - F.col("with_edited"), F.col("own") - F.col("with_next"), F.col("next") - F.col("with_next"))
+    differs = (left[0] > 0) | (left[1] > 0) | (left[2] > 0) | (left[3] > 0)
+    below = F.transform(F.when(differs, F.col("keys")).otherwise(F.array().cast("array<bigint>")), lambda k: F.struct(k.alias("leaf"), *values(*left)))
+    leaves = held.select("doc_id", "version", "head", F.inline(F.concat(F.array(F.when(F.col("section").isNull(), of_document).otherwise(of_section)), below)))
+    summed = leaves.groupBy("doc_id", "version", "leaf", "head").agg(*(F.sum(n).alias(n) for n in _VALUES))
+
+    def total(at_leaf: Column, above: str) -> Column:
+        return F.sum(F.when(F.col("leaf").isNotNull(), at_leaf).otherwise(F.col(above)))
+
+    matched = total(_chars(F.col("leaf")) * F.least("v0", "v1"), "v3").alias("with_edited"), total(_chars(F.col("leaf")) * F.least("v2", "v3"), "v4").alias("with_next")
+    sizes = [total(zero, n).alias(t) for n, t in zip(("v0", "v1", "v2", "v5"), (*trees, "copies"), strict=True)]
+    return summed.groupBy("doc_id", "version").agg(F.max("head").alias("head"), *matched, *sizes)
+
+
+def likeness(same: Column, matched: str, other: str) -> Column:
+    both = F.col("own") + F.col(other)
+    return F.when(same, 1.0).when(both > 0, 2 * F.col(matched) / both).otherwise(0.0)
+
+
 def compare(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness: see the query's contract.
 
@@ -97,21 +175,25 @@ def compare(documents: DataFrame) -> DataFrame:
     giving = docs.join(followers.hint("merge"), (F.col("doc_id") == F.col("follower")) & (F.xxhash64("text").bitwiseXOR(F.col("version")) == 0))
     if twice:
         giving = giving.dropDuplicates(["doc_id"])
-    tree = sections(F.col("text"))
-    giving = giving.select("after_id", F.substring("text", F.lit(1), F.col("need")).alias("start"), root(tree).alias("next_root"), leaves(F.col("text")).alias("next_leaves"))
+    given = _bound(sections(F.col("text")), lambda t: F.struct(root(t).alias("root"), _slim(t).alias("tree")))
+    giving = giving.select("after_id", F.substring("text", F.lit(1), F.col("need")).alias("start"), given.alias("given"))
+    giving = giving.select("after_id", "start", F.col("given.root").alias("next_root"), F.col("given.tree").alias("next"))
     rows = docs.join(giving.hint("merge"), F.col("doc_id") == F.col("after_id"))
     n = F.char_length("text")
     k = F.floor(n / 3).cast("int")
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - k), F.substring("start", F.lit(1), k)))
-    rows = rows.select("doc_id", "n_chars", "next_root", "next_leaves", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sections(F.col("text")).alias("tree"), leaves(F.col("text")).alias("leaves"), sections(F.col("edited")).alias("edited_tree"), leaves(F.col("edited")).alias("edited_leaves"))
-    rows = rows.withColumns({"fingerprint": root(F.col("tree")), "edited_fingerprint": root(F.col("edited_tree"))})
-    own = F.col("fingerprint"), F.col("leaves")
-    return rows.select(
+    rows = rows.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), n - k), F.substring("start", F.lit(1), k)))
+    trees = {t: _bound(sections(F.col(c)), lambda t: F.struct(root(t).alias("root"), _slim(t).alias("tree"))) for t, c in (("own", "text"), ("edited", "edited_text"))}
+    rows = rows.select("doc_id", F.xxhash64("text").alias("version"), n.alias("n_chars"), F.sha2(F.col("edited_text").cast("binary"), 256).alias("sha"), "next_root", "next", *(c.alias(t) for t, c in trees.items()))
+    head = F.concat_ws(" ", F.col("n_chars").cast("string"), "sha", "own.root", "edited.root", "next_root")
+    found = _descended(rows.select("doc_id", "version", head.alias("head"), F.col("own.tree").alias("own"), F.col("edited.tree").alias("edited"), "next"))
+    found = found.withColumn("h", F.split("head", " ")).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    h = [F.col("h")[i] for i in range(5)]
+    return found.select(
         "doc_id",
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(*own, F.col("edited_fingerprint"), F.col("edited_leaves")).alias("near_edited"),
-        likeness(*own, F.col("next_root"), F.col("next_leaves")).alias("near_next"),
+        h[0].cast("long").alias("n_chars"),
+        h[1].alias("edited_sha256"),
+        h[2].alias("fingerprint"),
+        h[3].alias("edited_fingerprint"),
+        likeness(h[2] == h[3], "with_edited", "edited").alias("near_edited"),
+        likeness(h[2] == h[4], "with_next", "next").alias("near_next"),
     )
