@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     context = spark.sparkContext
     set_already = context._jsc.sc().getCheckpointDir()
     if set_already.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -42,7 +45,24 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that all its readers have read in full; what they gave must be stored itself."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, *taken: Iterable[str]) -> str:
+    """A column name like name that is none of those taken, in upper or lower case."""
+    low = {t.lower() for names in taken for t in names}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def fixed(df: DataFrame) -> DataFrame:
@@ -218,36 +238,75 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield contracted(*(np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1)))
 
 
+#: A key that holds one row in so many, and this many rows at least, is looked up by broadcast: there are no more such keys.
+HOT_KEYS, HOT_ROWS = 512, 256
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys, HOT_KEYS at most, that hold so large a share of the rows of a stored table that they need care."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("m"))
+    least = max(HOT_ROWS, -(-rows.count() // HOT_KEYS))
+    return [r[0] for r in counts.where(F.col("m") >= least).collect()]
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, hot: list, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has each key once. Rows of the hot keys stay where they are, the others are dealt."""
+    if not hot:
+        return rows.join(table, key, how)
+    is_hot = F.col(key).isin(hot)
+    few = F.broadcast(table.where(is_hot))  # a row for each hot key, HOT_KEYS at most
+    return rows.where(~is_hot).join(table.where(~is_hot), key, how).unionByName(rows.where(is_hot).join(few, key, how))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every end of an edge (a, b); component is one of the component's nodes.
 
     Each round contracts what edges of one partition connect, hooks every node to the least of its
     neighbours and itself, jumps once more, and contracts the edges by that. Nodes should be hashes: then
     the edges left shrink by a constant factor a round. The least neighbour is aggregated before the
-    shuffle, so hubs are no hot keys there; the joins that follow may be split by adaptive execution.
+    shuffle, and nodes that a share of all edges or labels name are looked up by broadcast, so that hubs are no
+    hot keys.
     """
     prepare(edges.sparkSession)
     left = edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long")
     left = stored(left.distinct().mapInArrow(_forest, "a long, b long"))
-    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    nodes = stored(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
     hooks: list[DataFrame] = []
     while not left.isEmpty():
         if len(hooks) == rounds:
             raise RuntimeError(f"components not found in {rounds} rounds")
         both = left.union(left.select("b", "a")).toDF("node", "next")
-        hook = both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("next"))
-        jump = hook.alias("x").join(hook.alias("y"), F.col("x.next") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.next").alias("next"))
-        hook = stored(jump)
+        first = both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("next"))
+        first = stored(first)
+        second = first.select(F.col("node").alias("next"), F.col("next").alias("last"))
+        hook = stored(looked_up(first, "next", second, hot_keys(first, "next")).select("node", F.col("last").alias("next")))
+        discard(first)
         hooks.append(hook)
-        a = left.join(hook.select(F.col("node").alias("a"), F.col("next").alias("a2")), "a")
-        b = a.join(hook.select(F.col("node").alias("b"), F.col("next").alias("b2")), "b")
+        a = looked_up(left, "a", hook.select(F.col("node").alias("a"), F.col("next").alias("a2")), hot_keys(left, "a"))
+        b = looked_up(a, "b", hook.select(F.col("node").alias("b"), F.col("next").alias("b2")), hot_keys(left, "b"))
         further = b.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct()
-        left = stored(further.mapInArrow(_forest, "a long, b long"))
+        before, left = left, stored(further.mapInArrow(_forest, "a long, b long"))
+        discard(before)
     out = nodes.withColumn("component", F.col("node"))
     for hook in hooks:
         step = hook.select(F.col("node").alias("component"), F.col("next").alias("further"))
-        out = out.join(step, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
-    return stored(out)
+        before, out = out, stored(looked_up(out, "component", step, hot_keys(out, "component") if hook is not hooks[0] else [], "left").select("node", F.coalesce("further", "component").alias("component")))
+        discard(before if hook is not hooks[0] else nodes)
+        discard(hook)
+    return out if hooks else stored(out)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The columns of some batches at a time, about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(h.num_rows for h in held) >= rows:
+            yield [np.concatenate([h.column(i).to_numpy() for h in held]) for i in range(held[0].num_columns)]
+            held = []
+    if held:
+        yield [np.concatenate([h.column(i).to_numpy() for h in held]) for i in range(held[0].num_columns)]
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
