@@ -4,7 +4,8 @@ A line's key is the line stripped of ASCII white space with A-Z lowered. Keys of
 points that at least min_documents documents hold lose all their lines except in the largest doc_id.
 Only hashes, ids and positions are shuffled; texts are not. Keys are dealt by range of (hash, doc_id), so
 a key that a third of all documents hold spreads over many partitions; what each partition knows of its
-first and last key is carried over in one small row.
+first and last key is carried over in one small row. Within a partition rows stream by in order: what a task
+holds are a stretch of rows and, of the key it is in, those seen until it is known to be common.
 
 Defined cases: a null or empty text is one empty line; rows whose doc_id is null are left out; equal keys
 within one document count once and stay or go together; rows of the same doc_id and text share a bitmap,
@@ -53,15 +54,6 @@ def _line_rows(min_chars: int):
     return rows
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
-    """The columns of a partition, 36 bytes a line; None if it is empty."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    table = pa.Table.from_batches(got)
-    return [table.column(n).to_numpy() for n in table.schema.names]
-
-
 def _runs(high: np.ndarray, low: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sorted rows: number of the key of each row, first rows of the keys, number of documents of each key."""
     fresh = np.ones(len(high), bool)
@@ -74,12 +66,73 @@ def _runs(high: np.ndarray, low: np.ndarray, back: np.ndarray) -> tuple[np.ndarr
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for a partition: its number, first and last key and how many documents it has for them."""
-    if (a := _arrays(batches)) is None:
-        return
-    high, low, back, _, _ = a
-    key, first, documents = _runs(high, low, back)
-    values = [TaskContext.get().partitionId(), high[0], low[0], documents[0], high[-1], low[-1], documents[-1]]
-    yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in values], ["part", "high", "low", "n", "high2", "low2", "n2"])
+    first = last = None  # key, documents; and of the last key the last document
+    for high, low, back, *_ in common.gathered(batches):
+        _, at, documents = _runs(high, low, back)
+        keys = [(int(high[i]), int(low[i])) for i in (at[0], at[-1])]
+        if last is not None and keys[0] == last[0]:
+            documents[0] += last[1] - int(back[0] == last[2])
+            if first[0] == keys[0]:
+                first = (keys[0], int(documents[0]))
+        if first is None:
+            first = (keys[0], int(documents[0]))
+        last = (keys[1], int(documents[-1]), int(back[-1]))
+    if first is not None:
+        values = [TaskContext.get().partitionId(), *first[0], first[1], *last[0], last[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in values], ["part", "high", "low", "n", "high2", "low2", "n2"])
+
+
+class Sweep:
+    """The lines that go, from rows in order, a stretch at a time.
+
+    What it holds between stretches are the rows of one key of which fewer than least documents were seen yet, or
+    that key and its keeper. head and tail are the partition's first and last key with the documents that other
+    partitions have for them: before the head there is its keeper, too.
+    """
+
+    def __init__(self, least: int, head: tuple, tail: tuple):
+        self.least, self.head, self.tail = least, head, tail
+        self.held: list[np.ndarray] | None = None
+        self.going: tuple | None = None  # key and keeper
+
+    def _judged(self, rows: list[np.ndarray], whole: bool) -> Iterator[list[np.ndarray]]:
+        """Of rows with whole keys (or of the rows so far of one key): those that go, once that is known."""
+        high, low, back = rows[:3]
+        if not len(high):
+            return
+        key, at, documents = _runs(high, low, back)
+        for i, (name, elsewhere) in ((0, self.head), (-1, self.tail)):
+            if (int(high[at[i]]), int(low[at[i]])) == name:
+                documents[i] += elsewhere
+        if not whole and documents[-1] < self.least:
+            self.held = rows
+            return
+        has_keeper = np.ones(len(at), bool)
+        has_keeper[0] = not (self.head[1] and (int(high[0]), int(low[0])) == self.head[0])
+        if not whole:
+            self.going = ((int(high[-1]), int(low[-1])), int(back[at[-1]]) if has_keeper[-1] else None)
+        go = (documents[key] >= self.least) & ~(has_keeper[key] & (back == back[at][key]))
+        yield [c[go] for c in rows]
+
+    def stretch(self, rows: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+        if self.going is not None:
+            (high, low), keeper = self.going
+            n = int(((rows[0] == high) & (rows[1] == low)).sum())
+            go = np.ones(n, bool) if keeper is None else rows[2][:n] != keeper
+            yield [c[:n][go] for c in rows]
+            rows = [c[n:] for c in rows]
+            if not len(rows[0]):
+                return
+            self.going = None
+        if self.held is not None:
+            rows, self.held = [np.concatenate(x) for x in zip(self.held, rows, strict=True)], None
+        inner = int(np.argmax((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])))
+        yield from self._judged([c[:inner] for c in rows], True)
+        yield from self._judged([c[inner:] for c in rows], False)
+
+    def end(self) -> Iterator[list[np.ndarray]]:
+        if self.held is not None:
+            yield from self._judged(self.held, True)
 
 
 def dropped_lines(documents: DataFrame, min_chars: int = 40, min_documents: int = 5) -> DataFrame:
@@ -89,6 +142,7 @@ def dropped_lines(documents: DataFrame, min_chars: int = 40, min_documents: int
     lines = common.stored(_versions(documents).mapInArrow(_line_rows(min_chars), LINE_SCHEMA))
     dealt = lines.repartitionByRange(common.partitions(spark), "high", "low", "backwards").sortWithinPartitions("high", "low", "backwards", "position")
     dealt = common.fixed(dealt)
+    common.discard(lines)
     edges = dealt.mapInArrow(_edges, "part long, high long, low long, n long, high2 long, low2 long, n2 long").collect()  # a row for each partition
     before: dict[int, int] = {}
     after: dict[int, int] = {}
@@ -99,20 +153,21 @@ def dropped_lines(documents: DataFrame, min_chars: int = 40, min_documents: int
             seen[e[0]] = running[1] if running[0] == near[:2] else 0
             running = (far[:2], far[2] + (seen[e[0]] if near[:2] == far[:2] else 0))
 
+    ends_of = {e[0]: e for e in edges}
+
     def drops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (a := _arrays(batches)) is None:
+        e = ends_of.get(TaskContext.get().partitionId())
+        if e is None:
             return
-        high, low, back, version, position = a
-        key, first, documents = _runs(high, low, back)
-        part = TaskContext.get().partitionId()
-        total = documents.copy()
-        total[0] += before[part]
-        total[-1] += after[part]
-        keeper = back[first][key] == back
-        if before[part]:
-            keeper &= key != 0
-        go = (total[key] >= min_documents) & ~keeper
-        yield pa.RecordBatch.from_arrays([pa.array(-back[go]), pa.array(version[go]), pa.array(position[go])], ["doc_id", "version", "position"])
+        sweep = Sweep(min_documents, (tuple(e[1:3]), before[e[0]]), (tuple(e[4:6]), after[e[0]]))
+
+        def gone() -> Iterator[list[np.ndarray]]:
+            for rows in common.gathered(batches):
+                yield from sweep.stretch(rows)
+            yield from sweep.end()
+
+        for _, _, back, version, position in gone():
+            yield pa.RecordBatch.from_arrays([pa.array(-back), pa.array(version), pa.array(position)], ["doc_id", "version", "position"])
 
     return dealt.mapInArrow(drops, "doc_id long, version long, position int")
 
@@ -151,16 +206,22 @@ def _kept(text: str, keep: bytes | None) -> tuple[str, int, int]:
 
 
 def apply_bitmaps(documents: DataFrame, bitmaps: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """documents (doc_id, text and the columns of extra) with text cut down, and n_lines and n_dropped."""
+    """documents (doc_id, text and the columns of extra) with text cut down, and n_lines and n_dropped.
+
+    Columns of extra may have any name; those called like a column of the result are left out.
+    """
     common.prepare(documents.sparkSession)
-    docs = documents.where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_version", F.xxhash64("text"))
-    maps = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_map_version"), F.col("keep").alias("_keep"))
-    rows = docs.join(maps, (F.col("doc_id") == F.col("_doc")) & (F.col("_version") == F.col("_map_version")), "left").select("doc_id", "text", *extra, "_keep")
-    schema = rows.drop("_keep").schema.add("n_lines", "long").add("n_dropped", "long")
+    own = ("doc_id", "text", "n_lines", "n_dropped")
+    extra = tuple(n for n in extra if n.lower() not in own)
+    version, doc, of, keep = (common.unused(n, extra, own) for n in ("_version", "_doc", "_of", "_keep"))
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).where("doc_id is not null").withColumn(version, F.xxhash64("text"))
+    maps = bitmaps.select(F.col("doc_id").alias(doc), F.col("version").alias(of), F.col("keep").alias(keep))
+    rows = docs.join(maps, (F.col("doc_id") == F.col(doc)) & (F.col(version) == F.col(of)), "left").select("doc_id", "text", *extra, keep)
+    schema = rows.drop(keep).schema.add("n_lines", "long").add("n_dropped", "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_kept(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column("_keep").to_pylist(), strict=True)]
+            got = [_kept(t, k) for t, k in zip(batch.column("text").to_pylist(), batch.column(keep).to_pylist(), strict=True)]
             kept = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), kept[0], *(batch.column(n) for n in extra), *kept[1:]], ["doc_id", "text", *extra, "n_lines", "n_dropped"])
 
