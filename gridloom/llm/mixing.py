@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from gridloom.llm import common
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents in a block, about.
-BLOCK = 2048
+#: Documents in a block, and blocks in a group, about.
+BLOCK, GROUP = 2048, 4096
 #: Sources that one row of totals may hold; more raise an error.
 MOST_SOURCES = 1_000_000
 STEPS = 52
@@ -88,10 +88,18 @@ def mixture(documents: DataFrame, repetition_limit: float = 2.0, entropy: float
     blocks = F.greatest(F.lit(1), F.ceil(F.col("documents") / BLOCK))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "version"), blocks)).withColumn("place", F.xxhash64(F.lit(seed), "epoch", "doc_id", "version"))
 
-    rows = common.stored(rows.select("mix", "doc_id", "version", "source", "tokens", "total", "weight", "repeats", "epoch", "block", "place"))
-    sizes = rows.groupBy("mix", "epoch", "block").agg(F.sum("tokens").alias("size")).withColumn("turn", F.xxhash64(F.lit(seed), "epoch", "block"))
-    running = Window.partitionBy("mix", "epoch").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(running), F.lit(0))).select("mix", "epoch", "block", "start")
+    rows = common.stored(rows.select("mix", "doc_id", "version", "source", "tokens", "total", "weight", "repeats", "epoch", "block", F.pmod("block", F.ceil(blocks / GROUP)).alias("group"), "place"))
+    # Blocks come in groups, so that no window orders more than GROUP blocks, or one row for each group of a source.
+    sizes = rows.groupBy("mix", "epoch", "group", "block").agg(F.sum("tokens").alias("size")).withColumn("turn", F.xxhash64(F.lit(seed), "epoch", "block"))
+    groups = sizes.groupBy("mix", "epoch", "group").agg(F.sum("size").alias("size")).withColumn("turn", F.xxhash64(F.lit(seed), "epoch", "group"))
+
+    def starts_of(rows: DataFrame, within: tuple[str, ...], key: str) -> DataFrame:
+        running = Window.partitionBy(*within).orderBy("turn", key).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("start", F.coalesce(F.sum("size").over(running), F.lit(0))).select(*within, key, "start")
+
+    starts = starts_of(sizes, ("mix", "epoch", "group"), "block")
+    starts = starts.join(starts_of(groups, ("mix", "epoch"), "group").withColumnRenamed("start", "group_start"), ["mix", "epoch", "group"])
+    starts = starts.select("mix", "epoch", "block", (F.col("start") + F.col("group_start")).alias("start"))
     inside = Window.partitionBy("mix", "epoch", "block").orderBy("place", "doc_id", "version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("within", F.sum("tokens").over(inside)).join(starts, ["mix", "epoch", "block"])
     done = F.col("start") + F.col("within")
@@ -103,11 +111,13 @@ def mixture(documents: DataFrame, repetition_limit: float = 2.0, entropy: float
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """documents with every row as often as the mixture shows it; rows are not ordered.
 
-    Equal rows are repeated alike. A document that the budget leaves out has no row.
+    Equal rows are repeated alike. A document that the budget leaves out has no row. Further columns may have any name.
     """
-    copies = mixture(documents, **options).groupBy("doc_id", "version", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("mix")).agg(F.count("*").cast("int").alias("_copies"))
-    copies = copies.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), F.col("mix").alias("_mix"), "_copies")
     names = documents.columns
-    same = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_version")) & (F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")) == F.col("_mix"))
-    rows = documents.join(copies, same).withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies")))
-    return rows.select(*names)
+    doc, version, of, copies_of = (common.unused(n, names) for n in ("_doc", "_version", "_mix", "_copies"))
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+    copies = mixture(documents, **options).groupBy("doc_id", "version", source.alias("mix")).agg(F.count("*").cast("int").alias("n"))
+    copies = copies.select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("mix").alias(of), F.col("n").alias(copies_of))
+    same = (F.col("doc_id") == F.col(doc)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(version)) & (source == F.col(of))
+    rows = documents.join(copies, same).withColumn(copies_of, F.explode(F.sequence(F.lit(1), F.col(copies_of))))
+    return rows.select(*(F.col(f"`{n}`") for n in names))

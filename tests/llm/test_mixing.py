@@ -77,3 +77,26 @@ def test_odd_rows(make, rows):
     kept = mixing.mixed(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 3, 3]
     assert mixing.mixture(df.where("doc_id > 7")).collect() == []
+
+
+def test_columns_of_any_name_come_through(make):
+    docs = make([(i, f"some words here {i}") for i in range(9)])
+    for name in ("_doc", "_copies", "_mix", "_version", "mix", "version", "block", "a.b"):
+        docs = docs.withColumn(name, F.lit(name))
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and got.count() >= 9
+    assert {r._copies for r in got.collect()} == {"_copies"}
+
+
+def test_groups_of_blocks_keep_every_slot_apart(make, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    docs = make([(i, "w " * (i % 7 + 1)) for i in range(300)])
+    rows = mixing.mixture(docs, repetition_limit=1.0, budget=None).collect()
+    total = sum(i % 7 + 1 for i in range(300))
+    assert sorted(r.doc_id for r in rows) == list(range(300))
+    # the slots are the middles of adjoining stretches of tokens
+    at = 0
+    for r in sorted(rows, key=lambda r: r.slot):
+        assert abs(r.slot * total - (at + r.n_tokens / 2)) < 1e-6
+        at += r.n_tokens
