@@ -27,7 +27,8 @@ from gridloom.llm import common
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query: host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-SEPARATOR = "\x01"
+#: Ends the host in a key; no host holds it, so no rule fits across it.
+SEPARATOR = "?"
 
 
 def parts(url: Column) -> tuple[Column, Column]:

@@ -62,3 +62,16 @@ def test_odd_urls(spark):
     assert found(spark, rows, url_rules.RULES) == brute(rows, url_rules.RULES)
     assert found(spark, [], url_rules.RULES) == []
     assert found(spark, [(1, "http://a.com/x")], [("a.com", "/x", "allow"), ("a.com", "/x", "block")]) == [(1, "a.com", "/x", "a.com/x", "block")]
+
+
+def test_a_rule_without_a_path_fits_no_host_that_only_starts_like_it(spark):
+    urls = ["http://a.com/x", "http://a.com\x01b/x", "http://a.comb/", "http://x.a.com?q", "http://b\x01.a.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_rules.rules_table(spark, (("a.com", "", "block"),))
+    assert {r.page_id for r in url_rules.judge(pages, rules).collect() if r.verdict == "block"} == {0, 3, 4}
+
+
+def test_hot_urls_without_ids_keep_all_their_rows(spark):
+    pages = spark.createDataFrame([(None, "http://a.org/x")] * 300 + [(1, None)], "page_id long, url string")
+    got = url_rules.judge(pages, url_rules.rules_table(spark)).collect()
+    assert len(got) == 301 and sum(r.rule == "org/" for r in got) == 300
