@@ -6,8 +6,11 @@ since only that part moves the scores of queries that matter. Queries turn into
 each pair; two pairs share a byte, so a scan adds one table entry for two pairs. The best of each block
 of vectors are reranked by exact inner products in double precision.
 
-The centres are fitted on at most FIT vectors; every vector is indexed. Queries and vectors meet in
-blocks: a block of vectors is scanned by a block of queries at a time.
+A coarse partition comes first: vectors belong to the nearest of CELLS centres, and a query visits the cells
+whose centres have the largest products with it. How many is measured on the sample: the fewest by which its
+own nearest vectors are found but for one in so many. Where vectors have no clusters, that is most of the cells.
+Centres are fitted on at most FIT vectors; every vector is indexed. Queries and vectors meet in tiles: a
+block of a cell is scanned by a block of queries. What is found depends on the vectors alone, not on the cores.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 those whose length is not the most common one (the smaller of equals) or whose vec_id is null; equal
@@ -30,12 +33,50 @@ from gridloom.llm import common
 FIT, ROUNDS = 8192, 6
 #: Weight of the residual along the vector, relative to the part across it.
 PARALLEL = 4.0
-#: Vectors and queries in a block, about, and candidates that a block reranks for each query.
-ROW_BLOCK, QUERY_BLOCK, RERANK = 8192, 4096, 160
+#: Vectors and queries in a block, at most about, and candidates reranked for a query: in a block of ROW_BLOCK so
+#: many, in smaller ones in proportion, and AT_LEAST.
+ROW_BLOCK, QUERY_BLOCK, RERANK, AT_LEAST = 8192, 4096, 200, 64
+#: Cells, rounds of their fit, queries of the sample that measure, and the share of near vectors that cells may miss.
+CELLS, CELL_ROUNDS, PROBED, MISSED = 16, 8, 512, 0.01
 #: Scores held at once.
 SCORES_AT_ONCE = 1 << 21
 
 
+class Cells:
+    """Centres of the coarse partition, and how many cells a query visits."""
+
+    def __init__(self, centres: np.ndarray, visits: int):
+        self.centres, self.visits = centres, visits
+
+    @classmethod
+    def fit(cls, x: np.ndarray, k: int = 20) -> Cells:
+        random = np.random.default_rng(29)
+        centres = x[random.permutation(len(x))[: min(CELLS, len(x))]].copy()
+        for _ in range(CELL_ROUNDS):
+            own = cls(centres, 1).of(x)
+            sizes = np.bincount(own, minlength=len(centres))
+            for d in range(x.shape[1]):
+                sums = np.bincount(own, x[:, d], len(centres))
+                centres[sizes > 0, d] = sums[sizes > 0] / sizes[sizes > 0]
+        cells = cls(centres, len(centres))
+        asked = x[:PROBED]
+        scores = asked @ x.T
+        scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+        turn = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
+        needed = np.sort(turn[np.arange(len(asked))[:, None], cells.of(x)[near]].ravel())
+        if len(needed):
+            cells.visits = int(needed[min(len(needed) - 1, int(np.ceil((1 - MISSED) * len(needed))) - 1)]) + 1
+        return cells
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return ((self.centres**2).sum(1) - 2 * (x @ self.centres.T)).argmin(1)
+
+    def visited(self, queries: np.ndarray) -> np.ndarray:
+        """queries x visits: the cells that each query visits."""
+        return np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")[:, : self.visits]
+
+
 class Quantiser:
     """centres: pairs x 16 x 2."""
 
@@ -118,26 +159,36 @@ class Quantiser:
         return (four_bit[:, ::2, :, None] + four_bit[:, 1::2, None, :]).reshape(len(queries), -1, 256)
 
 
+def inner_products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Products of row pairs, summed in the order of the dimensions, so that equal vectors give equal products."""
+    out = np.zeros(len(rows))
+    for d in range(rows.shape[1]):
+        out += rows[:, d] * queries[:, d]
+    return out
+
+
 def scan(quantiser: Quantiser, codes: np.ndarray, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, score) of the k best rows of a block for each query; rows are in order of their ids."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = max(1, SCORES_AT_ONCE // max(1, len(rows)))
-    keep = min(len(rows), max(RERANK, 2 * k) + 1)
+    keep = min(len(rows), max(-(-RERANK * len(rows) // ROW_BLOCK), AT_LEAST, 2 * k) + 1)
     for a in range(0, len(queries), step):
         tables = quantiser.tables(queries[a : a + step])
         scores = np.zeros((len(tables), len(rows)), np.float32)
         for j in range(codes.shape[1]):
             scores += np.take(tables[:, j], codes[:, j], axis=1)
-        edge = np.partition(scores, len(rows) - keep, axis=1)[:, len(rows) - keep]
-        for i in range(len(tables)):
-            some = np.flatnonzero(scores[i] >= edge[i])
-            if len(some) > 2 * keep:  # many equal codes: the smaller ids of those at the edge
-                over, tied = some[scores[i][some] > edge[i]], some[scores[i][some] == edge[i]]
-                some = np.sort(np.concatenate([over, tied[:keep]]))
-            some = some[ids[some] != query_ids[a + i]]
-            exact = rows[some] @ queries[a + i]
-            best = np.lexsort((ids[some], -exact))[:k]
-            out.append((np.full(len(best), query_ids[a + i]), ids[some[best]], exact[best]))
+        edge = np.partition(scores, len(rows) - keep, axis=1)[:, len(rows) - keep, None]
+        able = scores >= edge
+        for i in np.flatnonzero(able.sum(1) > 2 * keep):  # many equal codes: the smaller ids of those at the edge
+            able[i, np.flatnonzero(scores[i] == edge[i])[keep:]] = False
+        asks, some = np.nonzero(able)
+        other = ids[some] != query_ids[a + asks]
+        asks, some = asks[other], some[other]
+        exact = inner_products(rows[some], queries[a + asks])
+        order = np.lexsort((some, -exact, asks))
+        asks, some, exact = asks[order], some[order], exact[order]
+        best = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+        out.append((query_ids[a + asks[best]], ids[some[best]], exact[best]))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
@@ -166,27 +217,31 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, fit: int = FIT)
     if n_queries == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit).collect()
-    quantiser = Quantiser.fit(np.array([r["vector"] for r in sample], np.float64))
-
-    row_blocks, query_blocks = -(-n // ROW_BLOCK), -(-n_queries // QUERY_BLOCK)
-    # Enough tiles for all cores, though each tile brings its queries along.
-    row_blocks = max(row_blocks, min(-(-n // 1024), 2 * spark.sparkContext.defaultParallelism))
+    fitted = np.array([r["vector"] for r in sample], np.float64)
+    quantiser, cells = Quantiser.fit(fitted), Cells.fit(fitted, k)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("vector")
-            x = lists.flatten().to_numpy().reshape(batch.num_rows, -1)
-            codes = quantiser.packed(x)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "vector", "codes"])
+            x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            visits = np.where(asks, cells.visits, 0)
+            visited = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(visits)]).astype(np.int32)), pa.array(cells.visited(x[asks]).ravel().astype(np.int32)))
+            columns = [batch.column("vec_id"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in quantiser.packed(x)], pa.binary()), pa.array(cells.of(x).astype(np.int32)), visited]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "vector", "codes", "cell", "visited"])
 
-    index = rows.mapInArrow(coded, "vec_id long, vector binary, codes binary")
-    mine = F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int")
+    index = rows.withColumn("asks", F.coalesce(is_query, F.lit(False))).mapInArrow(coded, "vec_id long, vector binary, codes binary, cell int, visited array<int>")
+    index = common.stored(index)
+    common.discard(rows)
+    query_blocks = -(-n_queries // QUERY_BLOCK)
+    blocks = {r["cell"]: -(-r["count"] // ROW_BLOCK) for r in index.groupBy("cell").count().collect()}  # a row for each cell
+    blocks_of = F.create_map(*(F.lit(int(v)) for pair in blocks.items() for v in pair))
     theirs = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    right = index.where(is_query).select("vec_id", "vector", theirs.alias("q")).withColumn("r", every(row_blocks))
-    left = index.select("vec_id", "vector", "codes", mine.alias("r")).withColumn("q", every(query_blocks))
+    right = index.where(F.size("visited") > 0).select("vec_id", "vector", theirs.alias("q"), F.explode("visited").alias("cell"))
+    right = right.where(blocks_of[F.col("cell")].isNotNull()).withColumn("r", F.explode(F.sequence(F.lit(0), blocks_of[F.col("cell")] - 1)))
+    mine = F.pmod(F.xxhash64("vec_id"), blocks_of[F.col("cell")]).cast("int")
+    left = index.select("vec_id", "vector", "codes", "cell", mine.alias("r"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
 
     def tile(block: pa.Table, asked: pa.Table) -> pa.Table:
         got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -196,7 +251,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, fit: int = FIT)
             got = scan(quantiser, codes, _matrix(block.column("vector")), block.column("vec_id").to_numpy(), _matrix(asked.column("vector")), asked.column("vec_id").to_numpy(), k)
         return pa.table({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
-    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(tile, schema)
+    found = left.groupBy("cell", "r", "q").cogroup(right.groupBy("cell", "r", "q")).applyInArrow(tile, schema)
     # k rows of each block for each query: the ranking is spread by query.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

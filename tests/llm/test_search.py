@@ -40,6 +40,59 @@ def test_recall_and_exact_scores_on_the_small_table(spark, small):
         assert near == sorted(near, key=lambda p: (-p[1], p[0]))
 
 
+def test_equal_vectors_have_equal_scores_wherever_they_lie():
+    random = np.random.default_rng(11)
+    for kind in (np.float64, np.float32):
+        distinct = random.normal(size=(40, 64)).astype(kind).astype(np.float64)
+        for n in (50, 333, 900):
+            pick = random.integers(0, 40, n)
+            rows, ids = distinct[pick], np.arange(n) * 3
+            quantiser = search.Quantiser.fit(rows)
+            asked = np.arange(0, n, 7)
+            got = search.scan(quantiser, quantiser.packed(rows), rows, ids, rows[asked], ids[asked], 20)
+            products = search.inner_products(np.repeat(distinct, 40, 0), np.tile(distinct, (40, 1))).reshape(40, 40)
+            for a in asked[:60]:
+                own = got[0] == ids[a]
+                order = np.lexsort((ids, -products[pick, pick[a]]))
+                want = [j for j in order if j != a][:20]
+                if len(set(got[1][own]) & set(ids[want])) == 20:  # nothing missed: then the order is exact
+                    assert got[1][own].tolist() == ids[want].tolist()
+                scores = got[2][own]
+                for i in range(1, len(scores)):
+                    assert scores[i] < scores[i - 1] or scores[i] == scores[i - 1] and got[1][own][i] > got[1][own][i - 1]
+
+
+def test_recall_of_full_blocks():
+    """Blocks of ROW_BLOCK vectors without any structure, at the production parameters."""
+    random = np.random.default_rng(12)
+    rows = random.normal(size=(search.ROW_BLOCK, 64)) * random.lognormal(0, 0.2, (search.ROW_BLOCK, 1))
+    quantiser = search.Quantiser.fit(rows[:4096])
+    asked = np.arange(0, len(rows), 64)
+    got = search.scan(quantiser, quantiser.packed(rows), rows, np.arange(len(rows)), rows[asked], asked, 20)
+    exact = rows[asked] @ rows.T
+    exact[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-exact, axis=1)[:, :20]
+    assert np.mean([len(set(got[1][got[0] == a]) & set(want[i])) / 20 for i, a in enumerate(asked)]) >= 0.95
+
+
+def test_cells_are_pruned_where_there_are_clusters():
+    random = np.random.default_rng(13)
+    centres = random.normal(size=(16, 32)) * 3
+    clustered = centres[random.integers(0, 16, 4000)] + random.normal(size=(4000, 32)) * 0.3
+    assert search.Cells.fit(clustered).visits <= 6
+    loose = search.Cells.fit(random.normal(size=(4000, 32)))
+    assert 6 < loose.visits <= 16
+    assert search.Cells.fit(random.normal(size=(3, 32))).visits <= 3 and search.Cells.fit(np.ones((1, 4))).visits == 1
+
+
+@pytest.mark.parametrize("cores", [1, 7])
+def test_the_number_of_cores_changes_nothing(spark, small, cores, monkeypatch):
+    df = spark.read.parquet(f"{small}/embeddings.parquet")
+    want = found(df)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", cores)
+    assert found(df.repartition(cores)) == want
+
+
 @pytest.mark.parametrize("dims", [3, 8])
 def test_blocks_and_long_vectors(spark, monkeypatch, dims):
     monkeypatch.setattr(search, "ROW_BLOCK", 128)
