@@ -253,7 +253,7 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, hot: list, how: str =
     """rows joined with a table that has each key once. Rows of the hot keys stay where they are, the others are dealt."""
     if not hot:
         return rows.join(table, key, how)
-    is_hot = F.col(key).isin(hot)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     few = F.broadcast(table.where(is_hot))  # a row for each hot key, HOT_KEYS at most
     return rows.where(~is_hot).join(table.where(~is_hot), key, how).unionByName(rows.where(is_hot).join(few, key, how))
 

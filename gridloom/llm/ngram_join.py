@@ -8,11 +8,12 @@ by their exact document count; then the other hashes; last the few shingles that
 hold (found over all documents). A class whose rare, unshared shingles fill that prefix can link with
 nothing and drops out. The rest fall into candidate components; each is cut into bands of size and blocks
 within them, and every two blocks of the same or neighbouring bands make a tile. In a tile, bit counts of
-bitmaps bound the overlap from above, and pairs that pass and are not yet connected are intersected.
+bitmaps bound the overlap from above, and every pair that passes is intersected. A tile gives the links that
+connect what is linked in it, and for each class the number of documents linked to it.
 
 Defined cases: a text with fewer words than a shingle is one shingle, an empty or null text has none and
 links with nothing; rows whose doc_id is null are left out; rows that share a doc_id are documents of
-their own, each with its set, and count with that id.
+their own, each with its set, and count with that id. Documents with the same set are linked to each other.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ COUNT_AT_ONCE = 4 << 20
 #: Classes and bytes of sets in a block of a tile.
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
 BITMAP_WORDS = 32
+#: Shingles of a set's partners that are compared at a time.
+SHARED_AT_ONCE = 1 << 20
 #: Bits for each id in the filter of the documents whose sets are wanted, and at most; a full filter only lets more pass.
 FILTER_EACH, FILTER_MOST = 32, 1 << 28
 SECOND, ENTRY = 1 << 40, np.dtype([("token", "<u8"), ("key", "<i8"), ("level", "u1")])
@@ -195,43 +198,64 @@ def _bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
-def tile_links(keys: list[int], sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links of a tile that connect all that is linked in it; pairs of sides 1 and 1, or 2 and 2, are other tiles' work."""
+def tile_links(keys: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect all that is linked in a tile, and for each class how many documents are linked to it there.
+
+    Pairs of sides 1 and 1, or 2 and 2, are other tiles' work. copies: documents of each class, 1 where not given.
+    """
+    copies = np.ones(len(keys), np.int64) if copies is None else copies
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    keys, sets, sides, sizes = [keys[i] for i in order], [sets[i] for i in order], sides[order], sizes[order]
+    sets, sides, sizes = [sets[i] for i in order], sides[order], sizes[order]
     bitmaps = np.array([_bitmap(s) for s in sets])
-    root = np.arange(len(keys))
+    # Shingles as ranks among the tile's: the sets stay sorted, and a set's members can be marked in one array.
+    distinct, ranks = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    marked = np.zeros(len(distinct), bool)
+    root, counts = np.arange(len(keys)), np.zeros(len(keys), np.int64)
     out = []
     last = np.searchsorted(sizes * percent, sizes * 100, "right")
     for a in range(len(keys)):
         if last[a] <= a + 1:
             continue
-        near = slice(a + 1, last[a])
-        able = (root[near] != root[a]) & ((sides[near] == 0) | (sides[near] != sides[a]))
-        if not able.any():
-            continue
-        at = np.flatnonzero(able) + a + 1
+        at = np.arange(a + 1, last[a])
+        at = at[(sides[at] == 0) | (sides[at] != sides[a])]
         apart = np.bitwise_count(bitmaps[at] ^ bitmaps[a]).sum(1, dtype=np.int64)
         both = sizes[a] + sizes[at]
         at = at[(100 + percent) * ((both - apart) // 2) >= percent * both]
-        for b in at:
-            if root[b] == root[a]:
-                continue
-            overlap = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if 100 * overlap >= percent * (sizes[a] + sizes[b] - overlap):
-                out.append((keys[a], keys[b]))
-                root[root == root[b]] = root[a]
-    return out
+        if not len(at):
+            continue
+        marked[ranks[bounds[a] : bounds[a + 1]]] = True
+        for some in np.array_split(at, -(-int(sizes[at].sum()) // SHARED_AT_ONCE)):
+            ends = np.cumsum(sizes[some])
+            own = np.repeat(bounds[some] - (ends - sizes[some]), sizes[some]) + np.arange(ends[-1])
+            overlap = np.add.reduceat(marked[ranks[own]], ends - sizes[some], dtype=np.int64)
+            linked = some[100 * overlap >= percent * (sizes[a] + sizes[some] - overlap)]
+            counts[a] += copies[order[linked]].sum()
+            counts[linked] += copies[order[a]]
+            for b in linked[root[linked] != root[a]]:
+                if root[b] != root[a]:
+                    out.append((int(keys[order[a]]), int(keys[order[b]])))
+                    root[root == root[b]] = root[a]
+        marked[ranks[bounds[a] : bounds[a + 1]]] = False
+    by_class = np.zeros(len(keys), np.int64)
+    by_class[order] = counts
+    return out, by_class
 
 
 def _tiles(percent: int):
+    """Rows (a, b) for links, and (a, null, links) for the documents linked to a class in a tile."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in common.runs(batches, "tile"):
             sets = [np.frombuffer(b, np.uint64) for b in tile.column("shingles").to_pylist()]
-            got = tile_links(tile.column("key").to_pylist(), sets, tile.column("side").to_numpy(), percent)
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], ["a", "b"])
+            keys = tile.column("key").to_numpy()
+            got, counts = tile_links(keys, sets, tile.column("side").to_numpy(), percent, tile.column("copies").to_numpy())
+            some = np.flatnonzero(counts)
+            if len(some):
+                none = pa.nulls(len(got), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)), none], ["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.nulls(len(some), pa.int64()), pa.array(counts[some])], ["a", "b", "links"])
 
     return rows
 
@@ -269,7 +293,10 @@ def _tiled(survivors: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document: linked where 100 |A and B| >= percent |A or B|."""
+    """doc_id, n_shingles, component_id and n_links of every document.
+
+    Two documents are linked where 100 |A and B| >= percent |A or B|; n_links counts the others linked to a document.
+    """
     docs = common.texts(documents)
     spark = docs.sparkSession
     common.prepare(spark)
@@ -291,19 +318,22 @@ def classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     edges = prefixes.join(star, "token").select("a", F.col("key").alias("b"))
     together = common.connected_components(edges)
     survivors = prefixes.select("key", "n").distinct().join(together.withColumnRenamed("node", "key"), "key")
-    tiled = common.stored(_tiled(survivors, percent).join(own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("one")), "key"))
+    smallest = common.stored(own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("one"), F.count("*").alias("copies")))
+    tiled = common.stored(_tiled(survivors, percent).join(smallest, "key"))
 
     bits = spark.sparkContext.broadcast(_filter_bits(tiled.select(F.col("one").alias("id"))))
     sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(_payload(width, bits), "one long, key long, shingles binary")
-    payload = sets.join(tiled.hint("merge"), ["one", "key"]).select("key", "shingles", F.explode("tiles").alias("t")).select("t.tile", "t.side", "key", "shingles")
-    links = payload.repartition(parts, "tile").sortWithinPartitions("tile", "key").mapInArrow(_tiles(percent), "a long, b long")
-    found = common.connected_components(links)
+    payload = sets.join(tiled.hint("merge"), ["one", "key"]).select("key", "copies", "shingles", F.explode("tiles").alias("t")).select("t.tile", "t.side", "key", "copies", "shingles")
+    links = common.stored(payload.repartition(parts, "tile").sortWithinPartitions("tile", "key").mapInArrow(_tiles(percent), "a long, b long, links long"))
+    found = common.connected_components(links.where("b is not null").select("a", "b"))
+    counts = links.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
 
-    smallest = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("one"))
-    labelled = smallest.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = labelled.groupBy("component").agg(F.min("one").alias("component_id"))
-    ids = labelled.join(least, "component").select("key", "component_id")
-    return own.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = common.stored(smallest.join(found.withColumnRenamed("node", "key"), "key"))  # classes without links are their own component
+    least = linked.groupBy("component").agg(F.min("one").alias("component_id"))
+    linked = common.looked_up(linked, "component", least, common.hot_keys(linked, "component")).select("key", "component_id").join(counts, "key", "left")
+    ids = common.stored(smallest.join(linked, "key", "left").select("key", F.coalesce("component_id", "one").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    own = common.looked_up(own, "key", ids, common.hot_keys(own.where("key is not null"), "key"), "left")
+    return own.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 ORACLE = r"""
@@ -321,6 +351,6 @@ WITH RECURSIVE worded AS (
 ), reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
 )
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
-FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, coalesce(l.n_links, 0) AS n_links
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) l USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
 """

@@ -27,13 +27,16 @@ def brute(rows, width, percent):
             i = parent[i]
         return i
 
+    links = [0] * len(rows)
     for a, b in combinations(range(len(rows)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             parent[root(a)] = root(b)
+            links[a] += 1
+            links[b] += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(d, least.get(root(i), d))
-    return sorted((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
+    return sorted((d, len(sets[i]), least[root(i)], links[i]) for i, (d, _) in enumerate(rows))
 
 
 def found(df, width, percent):
@@ -83,11 +86,34 @@ def test_hot_shingles_come_last_and_lose_nothing(make, monkeypatch):
     assert found(make(rows), 4, 85) == brute(rows, 4, 85)
 
 
+def test_every_link_of_a_large_group_is_counted(make):
+    random.seed(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(random.choice([0, 1, 2])):
+            own[random.randrange(80)] = f"x{random.randrange(30)}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, rows[3][1]) for i in range(400)]
+    assert found(make(rows), 4, 85) == brute(rows, 4, 85)
+
+
+def test_hot_keys_are_looked_up_and_nulls_stay(spark):
+    rows = common.stored(spark.createDataFrame([(1, i) for i in range(700)] + [(2, 5), (3, 6), (None, 7)], "key long, x long"))
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "key long, value string")
+    hot = common.hot_keys(rows, "key")
+    assert hot == [1]
+    got = {(r.key, r.value) for r in common.looked_up(rows, "key", table, hot, "left").collect()}
+    assert got == {(1, "a"), (2, "b"), (3, None), (None, None)}
+    assert common.looked_up(rows, "key", table, hot).count() == 701
+
+
 def test_empty_table_repeated_rows_and_long_text(make, spark):
     assert found(make([(1, "a b c d e")]).where("doc_id < 0"), 4, 85) == []
     long = " ".join(f"t{i}" for i in range(200_000))
     rows = [(5, "a b c d e"), (5, "a b c d e"), (2, long), (7, long + " z"), (None, "a b c d e")]
-    assert found(make(rows), 4, 85) == [(2, 199_997, 2), (5, 2, 5), (5, 2, 5), (7, 199_998, 2)]
+    assert found(make(rows), 4, 85) == [(2, 199_997, 2, 1), (5, 2, 5, 1), (5, 2, 5, 1), (7, 199_998, 2, 1)]
 
 
 def test_components_of_a_path_and_a_hub(spark):

@@ -32,7 +32,7 @@ def test_stages_one_by_one(spark, small):
             assert all(r.n_chars == len(r.text) for r in rows)
         elif name == "near_duplicates":
             groups = brute_groups([(d, r.text) for d, r in before.items()], 5, 80)
-            assert sorted(r.doc_id for r in rows) == sorted(d for d, _, c in groups if d == c)
+            assert sorted(r.doc_id for r in rows) == sorted(d for d, _, c, _ in groups if d == c)
         elif name == "source_mixture":
             copies = {r.doc_id: r["count"] for r in mixing.mixture(seen, repetition_limit=2.0).groupBy("doc_id").count().collect()}
             got = {}
