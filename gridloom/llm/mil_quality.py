@@ -6,7 +6,8 @@ and the score is a logistic of the weighted sum. Only the documents' labels are
 
 Defined cases: a null or empty text is one empty passage and gets a score; several labels of one document
 count as their maximum; rows whose doc_id is null are left out; a doc_id in several rows gives a row each;
-without labels of both kinds every score is the smoothed share of label 1.
+without labels of both kinds every score is the smoothed share of label 1; of the rows of a labelled doc_id the
+fit sees the one whose features come first.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
 
-#: Documents that the fit sees at most, and passages of each of them; scoring takes every passage.
-FIT_DOCUMENTS, FIT_PASSAGES = 4000, 64
+#: Labelled documents that the fit sees at most, and passages of all of them together: the documents with the
+#: smallest hashes of their ids, each with all its passages, as far as both bounds go. Scoring takes every passage.
+FIT_DOCUMENTS, FIT_PASSAGES = 4000, 50_000
 PASSAGE_WORDS, HIDDEN, GATE = 64, 12, 8
 KINDS = ("a-z", "A-Z", "0-9", " ", "\n", "!", "?", ".", ",", "|", "#$%&*+=~^", "<>{}[]()/\\@", ":;'\"-_`")
 
@@ -100,6 +102,22 @@ class Model:
         return np.full(len(first) - 1, self.constant) if self.weights is None else self.forward(x, first)["p"]
 
 
+def gradient(model: Model, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of the bags, by the weights; bag i is rows first[i]:first[i + 1] of x."""
+    w, v = model.weights, model.forward(x, first)
+    dz = np.outer((v["p"] - labels) / len(labels), w["c"])
+    grad = {"c": v["z"].T @ (v["p"] - labels) / len(labels), "d": np.sum(v["p"] - labels) / len(labels)}
+    by_bag = dz[v["bag"]]
+    da = (by_bag * v["h"]).sum(1)
+    de = v["a"] * (da - np.add.reduceat(v["a"] * da, first[:-1])[v["bag"]])
+    grad["w"] = (v["t"] * v["s"]).T @ de
+    dt, ds = np.outer(de, w["w"]) * v["s"] * (1 - v["t"] ** 2), np.outer(de, w["w"]) * v["t"] * v["s"] * (1 - v["s"])
+    grad["V"], grad["U"] = v["h"].T @ dt, v["h"].T @ ds
+    dh = (v["a"][:, None] * by_bag + dt @ w["V"].T + ds @ w["U"].T) * (1 - v["h"] ** 2)
+    grad["W"], grad["b"] = v["x"].T @ dh, dh.sum(0)
+    return grad
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 300, rate: float = 0.03, decay: float = 1e-4) -> Model:
     """Train by Adam on all the bags at once; the same bags give the same model."""
     ones = float(labels.sum())
@@ -114,17 +132,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 300, rate: floa
     model = Model(weights, x.mean(0), np.maximum(x.std(0), 1e-3), constant)
     first_moment, second_moment = ({k: np.zeros(s) for k, s in shapes.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        w, v = model.weights, model.forward(x, first)
-        dz = np.outer((v["p"] - labels) / len(labels), w["c"])
-        grad = {"c": v["z"].T @ (v["p"] - labels) / len(labels), "d": np.sum(v["p"] - labels) / len(labels)}
-        by_bag = dz[v["bag"]]
-        da = (by_bag * v["h"]).sum(1)
-        de = v["a"] * (da - np.add.reduceat(v["a"] * da, first[:-1])[v["bag"]])
-        grad["w"] = (v["t"] * v["s"]).T @ de
-        dt, ds = np.outer(de, w["w"]) * v["s"] * (1 - v["t"] ** 2), np.outer(de, w["w"]) * v["t"] * v["s"] * (1 - v["s"])
-        grad["V"], grad["U"] = v["h"].T @ dt, v["h"].T @ ds
-        dh = (v["a"][:, None] * by_bag + dt @ w["V"].T + ds @ w["U"].T) * (1 - v["h"] ** 2)
-        grad["W"], grad["b"] = v["x"].T @ dh, dh.sum(0)
+        w = model.weights
+        grad = gradient(model, x, first, labels)
         for k in shapes:
             g = grad[k] + decay * w[k]
             first_moment[k] = 0.9 * first_moment[k] + 0.1 * g
@@ -138,12 +147,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = []
         for chunk in common.chunks(batch.column(1)):
             x, first = passages(chunk)
-            for i in range(chunk.n):
-                own = x[first[i] : first[i + 1]]
-                if len(own) > FIT_PASSAGES:
-                    own = own[np.linspace(0, len(own) - 1, FIT_PASSAGES).astype(int)]
-                bags.append(own.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
+            bags += [x[first[i] : first[i + 1]].astype(np.float32).tobytes() for i in range(chunk.n)]
+        sizes = pa.array([len(b) // (4 * N_FEATURES) for b in bags], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bags, pa.binary()), sizes], ["doc_id", "label", "bag", "size"])
 
 
 def train(documents: DataFrame, labels: DataFrame, column: str = "quality", limit: int = FIT_DOCUMENTS) -> Model:
@@ -154,9 +160,13 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "quality", limi
     label = label.where(~common.held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
     chosen = label.orderBy(F.xxhash64("label_id"), "label_id").limit(limit)  # bounded by limit, so it may be broadcast
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
-    got = rows.mapInArrow(_bags, "doc_id long, label double, bag binary").toPandas().sort_values(["doc_id", "bag"]).drop_duplicates("doc_id")
-    bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES).astype(np.float64) for b in got["bag"]]
-    return fit(bags, (got["label"].to_numpy(float) > 0.5).astype(float))
+    bags = common.stored(rows.mapInArrow(_bags, "doc_id long, label double, bag binary, size long").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("bag").alias("bag"), F.min_by("size", "bag").alias("size")))
+    up_to = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = bags.select("doc_id", F.sum("size").over(up_to).alias("total"))  # limit rows at most, without their bags
+    sizes = sizes.where(F.col("total") <= FIT_PASSAGES).select("doc_id")
+    got = bags.join(F.broadcast(sizes), "doc_id").toPandas().sort_values("doc_id")
+    common.discard(bags)
+    return fit([np.frombuffer(b, np.float32).reshape(-1, N_FEATURES).astype(np.float64) for b in got["bag"]], (got["label"].to_numpy(float) > 0.5).astype(float))
 
 
 def score(documents: DataFrame, model: Model, keep: str = "") -> DataFrame:
