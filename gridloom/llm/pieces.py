@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass.
 
-The vocabulary is a byte-fallback BPE model, for which a best-score path is not the right segmentation, so
-the forward state of a prefix is the last piece of its BPE segmentation instead of a Viterbi score. That
-state follows from the states of shorter prefixes alone: it is the one piece that ends there and forms a
-stable pair with the last piece before it (BPE over both gives just those two). Distinct marked words
-are sorted, which walks their trie depth-first, and the states of a common prefix are reused.
-
-Defined cases: a null or empty text has no ids; characters outside the vocabulary become byte pieces; a
-text that holds U+2581 itself decodes with spaces there, as the model's marking demands; rows whose
-doc_id is null are left out; repeated rows are encoded each.
+Distinct marked words are sorted, which walks their trie depth-first, and the forward states of a common prefix
+are computed once. In a unigram model the state of a prefix is Viterbi's: the best score of its segmentations and
+the piece that ends it. A BPE model's segmentation is not the best-scored path, so there the state is the last
+piece of the prefix's BPE. That state follows from the states of shorter prefixes alone: it is the one piece that
+ends there and forms a stable pair with the last piece before it (BPE over both gives just those two).
+
+Defined cases: a null or empty text has no ids; characters outside the vocabulary become byte pieces, or without
+such pieces the unknown one, once for a run of them; a text that holds U+2581 itself decodes with spaces there,
+as the model's marking demands; rows whose doc_id is null are left out; repeated rows are encoded each; further
+columns of any name come through, but those called like a column of the result.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ MARK = "▁"
 #: Words and piece pairs that a worker remembers before it starts anew.
 WORDS_KEPT, PAIRS_KEPT = 1_000_000, 400_000
 
+#: Fixed value: how far an unknown character scores below the worst piece of a unigram model.
+UNKNOWN_PENALTY = 10.0
+
 _word = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -44,9 +48,11 @@ class Vocabulary:
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
         norm, trainer = spec.normalizer_spec, spec.trainer_spec
-        if trainer.model_type != 2 or not trainer.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
-            raise ValueError("only BPE models with byte fallback and without normalisation are supported")
+        self.unigram = trainer.model_type == 1
+        if not (self.unigram or trainer.model_type == 2 and trainer.byte_fallback) or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces:
+            raise ValueError("only unigram models and BPE models with byte fallback, without normalisation, are supported")
         model = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
+        self.fallback, self.unknown = trainer.byte_fallback, model.unk_id()
         self.prefix = norm.add_dummy_prefix
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
@@ -65,6 +71,8 @@ class Vocabulary:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         self.codes = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        self.longest = max(map(len, self.ids), default=1)
+        self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.reach: dict[str, int] = {}  # longest piece that ends in two characters
         for p in self.ids:
             if len(p) > 1:
@@ -103,6 +111,33 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode sorted distinct words, reusing the states of the prefix that each shares with the one before."""
+        (self._learn_best if self.v.unigram else self._learn_merges)(words)
+
+    def _learn_best(self, words: list[str]) -> None:
+        """Viterbi: best[i] and last[i] are the score and the last piece of the best segmentation of i characters."""
+        scores, longest, worst = self.v.scores, self.v.longest, self.v.worst
+        best, last, shown = [0.0], [""], ""
+        for word in words:
+            k = 0
+            for a, b in zip(shown, word, strict=False):
+                if a != b:
+                    break
+                k += 1
+            del best[k + 1 :], last[k + 1 :]
+            for i in range(k + 1, len(word) + 1):
+                top = piece = None
+                for start in range(max(0, i - longest), i):  # of equal scores the longest piece
+                    own = scores.get(word[start:i])
+                    if own is not None and (top is None or best[start] + own > top):
+                        top, piece = best[start] + own, word[start:i]
+                if word[i - 1] not in scores and (top is None or best[i - 1] + worst > top):
+                    top, piece = best[i - 1] + worst, word[i - 1]
+                best.append(top)
+                last.append(piece)
+            self.words[word] = self._walked(word, last)
+            shown = word
+
+    def _learn_merges(self, words: list[str]) -> None:
         ids, pairs, reach = self.v.ids, self.pairs, self.v.reach
         last: list[str] = [""]  # last[i]: last piece of the first i characters
         shown = ""
@@ -129,10 +164,17 @@ class Encoder:
 
     def _walked(self, word: str, last: list[str]) -> bytes:
         """Ids of a word by walking back over its states."""
-        out, i, codes = [], len(word), self.v.codes
+        out, i, codes, unknown = [], len(word), self.v.codes, None
         while i:
             piece = last[i]
-            out.append(codes.get(piece) or b"".join(self.v.byte_ids[x].to_bytes(4, "little") for x in piece.encode()))
+            code = codes.get(piece)
+            if code is None:
+                if self.v.fallback:
+                    code = b"".join(self.v.byte_ids[x].to_bytes(4, "little") for x in piece.encode())
+                else:
+                    code = b"" if unknown == i else self.v.unknown.to_bytes(4, "little")
+                    unknown = i - len(piece)
+            out.append(code)
             i -= len(piece)
         out.reverse()
         return b"".join(out)
@@ -169,7 +211,7 @@ def encode(documents: DataFrame, model: str = MODEL, extra: tuple[str, ...] = ()
     spark = documents.sparkSession
     common.prepare(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary(model))  # as large as the vocabulary file
-    rows = documents.where("doc_id is not null").select("doc_id", "text", *extra)
+    rows = documents.where("doc_id is not null").select("doc_id", "text", *(n for n in extra if n.lower() not in ("doc_id", "text", "ids")))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +226,7 @@ def encode(documents: DataFrame, model: str = MODEL, extra: tuple[str, ...] = ()
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded with the column decoded: the text that its ids stand for."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    encoded = encoded.select(*(F.col(f"`{n}`") for n in encoded.columns if n.lower() != "decoded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
@@ -198,6 +241,6 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def digest(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids_hash and round_trip (whether decoding gives the text again) of every document."""
+    """doc_id, n_tokens, ids, decoded and round_trip (whether decoding gives the text again) of every document."""
     both = decode(encode(common.texts(documents), model), model)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
