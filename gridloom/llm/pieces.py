@@ -223,24 +223,48 @@ def encode(documents: DataFrame, model: str = MODEL, extra: tuple[str, ...] = ()
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
+def texts_of(ids: pa.ListArray, v: Vocabulary) -> pa.Array:
+    """The text that each list of ids stands for; a null list is an empty text."""
+    values = ids.values.to_numpy(zero_copy_only=False).tolist() if len(ids.values) else []
+    bounds = ids.offsets.to_numpy().tolist()
+    piece = v.bytes_of.__getitem__
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        text = b"".join(map(piece, values[a:b])).decode("utf-8", "replace")
+        out.append(text[1:] if v.prefix and text.startswith(" ") else text)
+    return pa.array(out, pa.string())
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded with the column decoded: the text that its ids stand for."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
     encoded = encoded.select(*(F.col(f"`{n}`") for n in encoded.columns if n.lower() != "decoded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
         for batch in batches:
-            out = []
-            for ids in batch.column("ids"):
-                text = b"".join(map(v.bytes_of.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else [])).decode("utf-8", "replace")
-                out.append(text[1:] if v.prefix and text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(batch.column("ids"), vocabulary.value)], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def digest(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded and round_trip (whether decoding gives the text again) of every document."""
-    both = decode(encode(common.texts(documents), model), model)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    """doc_id, n_tokens, ids, decoded and round_trip (whether decoding gives the text again) of every document.
+
+    Encoding and decoding in one pass, so that texts and ids go to the workers and back once.
+    """
+    spark = documents.sparkSession
+    common.prepare(spark)
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(model))
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(name, vocabulary)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            ids = _lists(encoder.encode(texts))
+            decoded = texts_of(ids, encoder.v)
+            same = [(t or "") == d for t, d in zip(texts, decoded.to_pylist(), strict=True)]
+            sizes = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, ids, decoded, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "decoded", "round_trip"])
+
+    return common.texts(documents).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string, round_trip boolean")
