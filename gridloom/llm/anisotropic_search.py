@@ -6,11 +6,15 @@ since only that part moves the scores of queries that matter. Queries turn into
 each pair; two pairs share a byte, so a scan adds one table entry for two pairs. The best of each block
 of vectors are reranked by exact inner products in double precision.
 
-A coarse partition comes first: vectors belong to the nearest of CELLS centres, and a query visits the cells
-whose centres have the largest products with it. How many is measured on the sample: the fewest by which its
-own nearest vectors are found but for one in so many. Where vectors have no clusters, that is most of the cells.
-Centres are fitted on at most FIT vectors; every vector is indexed. Queries and vectors meet in tiles: a
-block of a cell is scanned by a block of queries. What is found depends on the vectors alone, not on the cores.
+A coarse partition comes first: vectors belong to the nearest centre, and a query visits the cells whose
+centres have the largest products with it. There is a cell for each ROW_BLOCK vectors, CELLS at least and one
+for each CELL_SAMPLE vectors of the sample at most. How many a query visits is measured on the half of the sample
+that the centres are not fitted on: the fewest by which its nearest vectors there are found but for a share MISSED,
+and more where these cells together hold fewer vectors than are asked for.
+Where vectors have no clusters, that is most of the cells. Centres are fitted on at most FIT vectors; every
+vector is indexed. Queries and vectors meet in tiles: a block of a cell is scanned by a block of the queries that
+visit the cell, so vectors are copied for the blocks of these queries alone. What is found depends on the vectors,
+not on the cores.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 those whose length is not the most common one (the smaller of equals) or whose vec_id is null; equal
@@ -36,8 +40,9 @@ PARALLEL = 4.0
 #: Vectors and queries in a block, at most about, and candidates reranked for a query: in a block of ROW_BLOCK so
 #: many, in smaller ones in proportion, and AT_LEAST.
 ROW_BLOCK, QUERY_BLOCK, RERANK, AT_LEAST = 8192, 4096, 200, 64
-#: Cells, rounds of their fit, queries of the sample that measure, and the share of near vectors that cells may miss.
-CELLS, CELL_ROUNDS, PROBED, MISSED = 16, 8, 512, 0.01
+#: Cells at least, vectors of the sample for each cell beyond these, rounds of the fit, queries of the sample that
+#: measure, and the share of near vectors that cells may miss.
+CELLS, CELL_SAMPLE, CELL_ROUNDS, PROBED, MISSED = 16, 32, 8, 512, 0.01
 #: Scores held at once.
 SCORES_AT_ONCE = 1 << 21
 
@@ -49,9 +54,12 @@ class Cells:
         self.centres, self.visits = centres, visits
 
     @classmethod
-    def fit(cls, x: np.ndarray, k: int = 20) -> Cells:
+    def fit(cls, sample: np.ndarray, k: int = 20, n: int = 0) -> Cells:
+        """Cells for n vectors, from a sample of them in random order."""
         random = np.random.default_rng(29)
-        centres = x[random.permutation(len(x))[: min(CELLS, len(x))]].copy()
+        measure, x = sample[: len(sample) // 2], sample[len(sample) // 2 :]
+        many = max(CELLS, min(n // ROW_BLOCK, len(sample) // CELL_SAMPLE))
+        centres = x[random.permutation(len(x))[:many]].copy()
         for _ in range(CELL_ROUNDS):
             own = cls(centres, 1).of(x)
             sizes = np.bincount(own, minlength=len(centres))
@@ -59,12 +67,12 @@ class Cells:
                 sums = np.bincount(own, x[:, d], len(centres))
                 centres[sizes > 0, d] = sums[sizes > 0] / sizes[sizes > 0]
         cells = cls(centres, len(centres))
-        asked = x[:PROBED]
-        scores = asked @ x.T
+        asked = measure[:PROBED]
+        scores = asked @ measure.T
         scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-        near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+        near = np.argsort(-scores, axis=1, kind="stable")[:, : max(0, min(k, len(measure) - 1))]
         turn = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)
-        needed = np.sort(turn[np.arange(len(asked))[:, None], cells.of(x)[near]].ravel())
+        needed = np.sort(turn[np.arange(len(asked))[:, None], cells.of(measure)[near]].ravel())
         if len(needed):
             cells.visits = int(needed[min(len(needed) - 1, int(np.ceil((1 - MISSED) * len(needed))) - 1)]) + 1
         return cells
@@ -72,9 +80,12 @@ class Cells:
     def of(self, x: np.ndarray) -> np.ndarray:
         return ((self.centres**2).sum(1) - 2 * (x @ self.centres.T)).argmin(1)
 
-    def visited(self, queries: np.ndarray) -> np.ndarray:
-        """queries x visits: the cells that each query visits."""
-        return np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")[:, : self.visits]
+    def visited(self, queries: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of cells that the queries visit, and these cells, which hold so many vectors at least, if there are."""
+        order = np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")
+        enough = (np.cumsum(sizes[order], axis=1) < least).sum(1) + 1
+        many = np.minimum(np.maximum(enough, self.visits), len(self.centres))
+        return many, order[np.arange(len(self.centres)) < many[:, None]]
 
 
 class Quantiser:
@@ -192,7 +203,7 @@ def scan(quantiser: Quantiser, codes: np.ndarray, rows: np.ndarray, ids: np.ndar
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
@@ -212,36 +223,55 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, fit: int = FIT)
     spark = embeddings.sparkSession
     common.prepare(spark)
     rows = common.stored(valid(embeddings))
-    n, n_queries = rows.count(), rows.where(is_query).count()
+    n = rows.count()
     schema = "query_id long, vec_id long, score double"
-    if n_queries == 0:
+    if rows.where(is_query).isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit).collect()
     fitted = np.array([r["vector"] for r in sample], np.float64)
-    quantiser, cells = Quantiser.fit(fitted), Cells.fit(fitted, k)
+    quantiser, cells = Quantiser.fit(fitted), Cells.fit(fitted, k, n)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            visits = np.where(asks, cells.visits, 0)
-            visited = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(visits)]).astype(np.int32)), pa.array(cells.visited(x[asks]).ravel().astype(np.int32)))
-            columns = [batch.column("vec_id"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in quantiser.packed(x)], pa.binary()), pa.array(cells.of(x).astype(np.int32)), visited]
-            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "vector", "codes", "cell", "visited"])
-
-    index = rows.withColumn("asks", F.coalesce(is_query, F.lit(False))).mapInArrow(coded, "vec_id long, vector binary, codes binary, cell int, visited array<int>")
+            if batch.num_rows:
+                x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+                columns = [batch.column("vec_id"), batch.column("asks"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in quantiser.packed(x)], pa.binary()), pa.array(cells.of(x).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "asks", "vector", "codes", "cell"])
+
+    index = rows.withColumn("asks", F.coalesce(is_query, F.lit(False))).mapInArrow(coded, "vec_id long, asks boolean, vector binary, codes binary, cell int")
     index = common.stored(index)
     common.discard(rows)
-    query_blocks = -(-n_queries // QUERY_BLOCK)
-    blocks = {r["cell"]: -(-r["count"] // ROW_BLOCK) for r in index.groupBy("cell").count().collect()}  # a row for each cell
-    blocks_of = F.create_map(*(F.lit(int(v)) for pair in blocks.items() for v in pair))
-    theirs = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    right = index.where(F.size("visited") > 0).select("vec_id", "vector", theirs.alias("q"), F.explode("visited").alias("cell"))
-    right = right.where(blocks_of[F.col("cell")].isNotNull()).withColumn("r", F.explode(F.sequence(F.lit(0), blocks_of[F.col("cell")] - 1)))
-    mine = F.pmod(F.xxhash64("vec_id"), blocks_of[F.col("cell")]).cast("int")
-    left = index.select("vec_id", "vector", "codes", "cell", mine.alias("r"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
+
+    def counted(cell: DataFrame) -> np.ndarray:
+        counts = np.zeros(len(cells.centres), np.int64)
+        for r in cell.groupBy("cell").count().collect():  # a row for each cell
+            counts[r["cell"]] = r["count"]
+        return counts
+
+    sizes = counted(index.select("cell"))
+
+    def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                many, visited = cells.visited(_matrix(batch.column("vector")), sizes, k + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(visited.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), lists], ["vec_id", "vector", "visited"])
+
+    visits = index.where("asks").select("vec_id", "vector").mapInArrow(visiting, "vec_id long, vector binary, visited array<int>")
+    visits = visits.select("vec_id", "vector", F.explode("visited").alias("cell"))
+
+    def blocks_of(counts: np.ndarray, size: int) -> Column:
+        """By a row's cell, into how many blocks of so many rows the cell's are cut; 0 where there are none."""
+        return F.get(F.array(*(F.lit(int(c)) for c in -(-counts // size))), F.col("cell"))
+
+    row_blocks, query_blocks = blocks_of(sizes, ROW_BLOCK), blocks_of(counted(visits.select("cell")), QUERY_BLOCK)
+
+    def copied(rows: DataFrame, blocks: Column, name: str) -> DataFrame:
+        """A copy of each row for each of its cell's blocks of the other side, if there are any."""
+        return rows.where(blocks > 0).withColumn(name, F.explode(F.sequence(F.lit(0), blocks - 1)))
+
+    right = copied(visits, row_blocks, "r").withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), query_blocks).cast("int"))
+    left = copied(index.drop("asks"), query_blocks, "q").withColumn("r", F.pmod(F.xxhash64("vec_id"), row_blocks).cast("int"))
 
     def tile(block: pa.Table, asked: pa.Table) -> pa.Table:
         got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))

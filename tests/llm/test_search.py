@@ -85,6 +85,36 @@ def test_cells_are_pruned_where_there_are_clusters():
     assert search.Cells.fit(random.normal(size=(3, 32))).visits <= 3 and search.Cells.fit(np.ones((1, 4))).visits == 1
 
 
+def test_cells_grow_with_the_vectors(monkeypatch):
+    random = np.random.default_rng(14)
+    sample = random.normal(size=(2048, 16))
+    count = {n: len(search.Cells.fit(sample, n=n).centres) for n in (2048, 40 * search.ROW_BLOCK, 10**9)}
+    assert count == {2048: search.CELLS, 40 * search.ROW_BLOCK: 40, 10**9: 2048 // search.CELL_SAMPLE}
+
+
+def test_recall_with_more_cells_than_the_least(spark, monkeypatch):
+    """Clusters, of which one holds a third of all rows, in cells of 64 vectors: most are not visited, recall holds."""
+    monkeypatch.setattr(search, "ROW_BLOCK", 64)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 16)
+    random = np.random.default_rng(15)
+    centres = random.normal(size=(40, 32)) * 2
+    x = centres[np.where(random.random(3000) < 0.34, 0, random.integers(0, 40, 3000))] + random.normal(size=(3000, 32)) * 0.3
+    fitted = search.Cells.fit(x[random.permutation(3000)], n=3000)
+    assert len(fitted.centres) == 46 and fitted.visits <= 23
+    want, got = brute(dict(enumerate(x.tolist()))), found(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"))
+    assert set(got) == set(want)
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.95
+    assert all(len(near) == 20 for near in got.values())
+
+
+def test_cells_visited_hold_as_many_vectors_as_are_asked_for():
+    cells = search.Cells(np.array([[4.0, 0], [3, 0], [2, 0], [1, 0]]), 1)
+    sizes = np.array([5, 10, 0, 50])
+    for least, want in ((3, [0]), (15, [0, 1]), (16, [0, 1, 2, 3]), (900, [0, 1, 2, 3])):
+        many, visited = cells.visited(np.array([[1.0, 0], [-1, 0]]), sizes, least)
+        assert visited[: many[0]].tolist() == want and many[1] == (1 if least < 51 else 4)
+
+
 @pytest.mark.parametrize("cores", [1, 7])
 def test_the_number_of_cores_changes_nothing(spark, small, cores, monkeypatch):
     df = spark.read.parquet(f"{small}/embeddings.parquet")
