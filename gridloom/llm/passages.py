@@ -1,17 +1,24 @@
 """Substring dedup: compact windows find passages that repeat, near copies included, across documents.
 
-A document is the sequence of its five-word shingles. For each of HASHES hash functions a Cartesian tree
-over the shingles' values (its root the least, its subtrees the ranges left and right of it) gives compact
-windows (l, c, r): every subsequence within l..r that holds c has c's value as its min-hash. Windows of at
-least the shortest passage are indexed by value. Documents that share a value are joined to the first of
-them, in the map task and then over all tasks, so a passage that a third of all documents hold costs a row
-for each document and no pair beyond. For each joined pair the aligned windows of all hash functions meet
-in an interval join; stretches under enough functions are candidates, which are verified on the shingles
-themselves: matching runs of at least min_words words whose sets have a Jaccard similarity of 0.8 or more.
-
-The first document of a value may hold less than the passage. So the shortest exact passages whose min-hashes
-all occur elsewhere and that no verified passage covers are joined once more, by a hash of all their shingles,
-to the first document that holds the same: exact copies of min_words words meet whatever stands between them.
+A document is the sequence of its five-word shingles. Two passages of at least min_words words are near copies
+where the Jaccard similarity of their shingles is 0.8 or more; both begin and end with shingles of the other.
+So a passage lies in a region whose shingles occur elsewhere but for a fifth; what no region holds is left out.
+Equal regions are one from then on, each joined to the first with the same shingles.
+
+For each of HASHES hash functions a Cartesian tree over a region's values (its root the least, its subtrees the
+ranges left and right of it) gives compact windows (l, c, r): every subsequence within l..r that holds c has c's
+value as its min-hash. Regions that share a value are joined to the first of them, in the map task and then
+over all tasks, so that a passage which a third of all documents hold costs a row for each document and no pair
+beyond. Aligned windows of all hash functions meet in an interval join; regions that enough functions join are
+compared on their shingles.
+
+The first region of a value may hold less than the passage, and hash functions may miss it. So an exact check
+follows: in one order of all shingles, rarest first, the first shingle that two near copies have in common has at
+most a fifth of either before it, and the next few little more. Regions that hold IN_COMMON shingles in such
+places are compared, all pairs of them, but for shingles around which both have passages of one class: passages
+joined by links already found, so these two are joined through others. A large class is found in a few rounds
+before that, in which the others meet one of its members at a time. At last, exact stretches of min_words words
+that no passage found so far covers are joined to the first document that has the same.
 
 Defined cases: null, empty and short texts hold no passage; rows whose doc_id is null are left out; rows
 that share a doc_id are documents of one id, whose passages in common are not reported; a passage that
@@ -20,29 +27,50 @@ repeats within one document alone is not reported.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
-from gridloom.llm.ngram_join import FILTER_EACH, FILTER_MOST, _filter_bits
+from gridloom.llm.ngram_join import FILTER_EACH, FILTER_MOST
 
 WIDTH, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 #: Hash functions, and how many must agree on a candidate. Where 0.8 of the shingles agree, so do 2 of 4 with probability 0.97.
 HASHES, ENOUGH = 4, 2
-#: Windows that a map task joins among themselves at a time.
-AT_ONCE = 1 << 20
-ENTRY = np.dtype([("value", "<u8"), ("doc", "<i8"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4")])
+#: Windows that a map task joins among themselves at a time, and shingles that it counts at a time.
+AT_ONCE, COUNT_AT_ONCE = 1 << 20, 4 << 20
+#: A shingle counts as shared, and comes later in the order of all shingles, where it occurs so often.
+LEVELS = (2, 16, 128)
+#: A stretch may hold one shingle that its copy lacks for so many that the copy has.
+PER_LOSS = round(SIMILARITY / (1 - SIMILARITY))
+#: Shares of a region's shingles at which its order is cut to find its prefix; a coarser cut only makes the prefix longer.
+CUTS = (0, 0.04, 0.08, 0.12, 0.16, 0.2, 0.24, 0.28, 0.33, 0.4, 0.5, 0.65, 0.8)
+#: Shingles that two regions must have in common in their prefixes; where one of a region's occurs so often, any one will do.
+IN_COMMON, REPEATED = 8, 6
+#: Rounds in which regions under other labels meet one of the commonest label alone.
+ROUNDS = 2
+#: Pairs, regions or shingles that a task holds at a time.
+PAIRS_AT_ONCE, REGIONS_AT_ONCE, SHINGLES_AT_ONCE = 1 << 20, 1 << 17, 1 << 16
+ENTRY = np.dtype([("value", "<u8"), ("region", "<i8"), ("l", "<i4"), ("c", "<i4"), ("r", "<i4")])
+HOLDER = np.dtype([("token", "<u8"), ("region", "<i8"), ("label", "<i8"), ("weight", "u1")])
 EDGE = ("member", "center", "k", "lc", "cc", "rc", "lm", "cm", "rm")
 EDGE_SCHEMA = "member long, center long, k int, lc int, cc int, rc int, lm int, cm int, rm int"
-PAIR = ["member", "center", "c_low", "c_high", "m_low", "m_high"]
-PAIR_SCHEMA = "member long, center long, c_low int, c_high int, m_low int, m_high int"
+REGION = ["region", "key", "doc", "low", "shingles"]
+FOUND = ["doc_id", "start_word", "n_words", "other_id", "other_start", "other_words", "similarity"]
 FOUND_SCHEMA = "doc_id long, start_word int, n_words int, other_id long, other_start int, other_words int, similarity double"
+REGION_SCHEMA = f"region long, key long, doc long, low int, shingles binary, {FOUND_SCHEMA}"
+LINK = ["member", "center", "m_low", "m_high", "c_low", "c_high", *FOUND]
+LINK_SCHEMA = f"member long, center long, m_low int, m_high int, c_low int, c_high int, {FOUND_SCHEMA}"
+SAME = np.dtype([("value", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("open", "?")])
+PAIR_SCHEMA = "member long, center long, weight long"
 _SEEDS = common.numbers(HASHES, 41)
+_FOUND_KINDS = (*(pa.int64(), pa.int32(), pa.int32()) * 2, pa.float64())
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -58,17 +86,15 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
 
 
 def _joined(entries: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The first entry of each value, and the edges from it to all entries of values that have several, itself too."""
-    order = np.lexsort((entries["c"], entries["doc"], entries["value"]))
+    """The first entry of each value, and the edges from it to the other regions' entries of the value."""
+    order = np.lexsort((entries["c"], entries["region"], entries["value"]))
     entries = entries[order]
     fresh = np.ones(len(entries), bool)
     fresh[1:] = entries["value"][1:] != entries["value"][:-1]
     first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(entries) else np.zeros(0, np.int64)
-    several = np.zeros(len(entries), bool)
-    several[first[~fresh]] = True
-    several |= ~fresh
-    member, center = entries[several], entries[first[several]]
-    edges = [member["doc"], center["doc"], (member["value"] % np.uint64(HASHES)).astype(np.int32), *(center[n] for n in "lcr"), *(member[n] for n in "lcr")]
+    others = entries["region"] != entries["region"][first]
+    member, center = entries[others], entries[first[others]]
+    edges = [member["region"], center["region"], (member["value"] % np.uint64(HASHES)).astype(np.int32), *(center[n] for n in "lcr"), *(member[n] for n in "lcr")]
     return entries[fresh], edges
 
 
@@ -91,26 +117,217 @@ def _flushed(held: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), *nothing], ["part", "blob", *EDGE])
 
 
-def _windows(parts: int, least: int):
-    """First windows of each value as blobs by part of the values, and the edges within this task."""
+def _dealt(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Order of the tokens by part, the parts that have some, and where these begin."""
+    part = (tokens % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    return order, full.astype(np.int32), [*cuts[full].tolist(), len(tokens)]
+
+
+def _counts(parts: int, least: int):
+    """Shingles of documents that can hold a passage, as blobs by part: 32 bits, and how often here (255 at most)."""
+
+    def flushed(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        seen = np.minimum(np.diff(np.append(first, len(tokens))), 255).astype(np.uint8)
+        tokens = tokens[first]
+        order, full, cuts = _dealt(tokens, parts)
+        high, seen = (tokens >> np.uint64(32)).astype(np.uint32)[order], seen[order]
+        blobs = [high[a:b].tobytes() + seen[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(full), pa.array(blobs[: len(full)], pa.binary())], ["part", "blob"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        for batch in batches:
+            for chunk in common.chunks(batch.column("text")):
+                hashes, bounds = common.shingles(chunk, WIDTH)
+                n = np.diff(bounds)
+                held.append(hashes[np.repeat(n >= least, n)])
+                size += len(held[-1])
+                if size >= COUNT_AT_ONCE:
+                    yield flushed(held)
+                    held, size = [], 0
+        yield flushed(held)
+
+    return rows
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of shingles that reach each level, and how many there are."""
+    held = []
+    for batch in batches:
+        for part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = len(blob) // 5
+            high, seen = np.frombuffer(blob, np.uint32, n).astype(np.uint64), np.frombuffer(blob, np.uint8, n, 4 * n)
+            held.append(np.uint64(part) << np.uint64(40) | high << np.uint64(8) | seen)
+    both = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
+    del held
+    keys = both >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    seen = np.add.reduceat((both & np.uint64(255)).astype(np.int64), first) if len(first) else first
+    keys = keys[first]
+    for level, some in enumerate(LEVELS):
+        own = keys[seen >= some]
+        for a in range(0, len(own), 1 << 17):
+            blob = own[a : a + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([len(blob)], pa.int64()), pa.array([blob.tobytes()], pa.binary())], ["level", "n", "blob"])
+
+
+def _filters(often: DataFrame, levels: int = len(LEVELS)) -> list[np.ndarray]:
+    """For each level a one-hash Bloom filter of its keys, of FILTER_MOST bits at most; a full filter only lets more pass."""
+    sizes = {r[0]: r[1] for r in often.groupBy("level").agg(F.sum("n")).collect()}
+    bits = [min(FILTER_MOST, 64 << int(np.ceil(np.log2(max(1, sizes.get(i, 0) * FILTER_EACH / 64))))) for i in range(levels)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for level, blob in zip(batch.column("level").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                at = np.sort(common.mix(np.frombuffer(blob, np.uint64)) % np.uint64(bits[level]))
+                word, first = np.unique(at // np.uint64(64), return_index=True)
+                own = np.bitwise_or.reduceat(np.uint64(1) << at % np.uint64(64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), level, np.int32)), pa.array(word.astype(np.int64)), pa.array(own.view(np.int64))], ["level", "word", "bits"])
+
+    words = often.mapInArrow(rows, "level int, word long, bits long").groupBy("level", "word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    level, word, own = (words.column(i).to_numpy() for i in range(3))
+    out = []
+    for i, n in enumerate(bits):
+        out.append(np.zeros(n // 64, np.int64))
+        out[-1][word[level == i]] = own[level == i]
+    return [x.view(np.uint64) for x in out]
+
+
+def _passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(len(words) * 64 - 1)
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _keys(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return common.mix((hashes % np.uint64(parts)) << np.uint64(32) | hashes >> np.uint64(32))
+
+
+def covered(held: np.ndarray, row: np.ndarray, least: int, more: int = 0) -> np.ndarray:
+    """What lies in a stretch of so many within one row (row: ascending) that are held but for a fifth, and some more."""
+    at = np.arange(len(held)) + row + 1  # before each row something that no stretch makes up for
+    size, slack = at[-1] + 1 if len(at) else 0, (PER_LOSS + 1) * more
+    before = np.full(size + 1, -len(held) - slack - 1)
+    before[0] = 0
+    before[at + 1] = np.where(held, 1, -PER_LOSS)
+    np.cumsum(before, out=before)
+    best = np.maximum.accumulate(before[::-1])[::-1]
+    last = np.searchsorted(-best, slack - before, "right") - 1
+    from_ = np.flatnonzero(last - np.arange(size + 1) >= least)
+    steps = np.bincount(from_, minlength=size + 1) - np.bincount(last[from_], minlength=size + 1)
+    return np.cumsum(steps)[at] > 0
+
+
+def _spans(held: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b] of true values."""
+    ends = np.flatnonzero(np.diff(held.astype(np.int8), prepend=0, append=0))
+    return zip(ends[::2].tolist(), (ends[1::2] - 1).tolist(), strict=True)
+
+
+def dense(held: np.ndarray, row: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b] of what is covered, without what is not held at their ends, where so many are left."""
+    within = covered(held, row, least)
+    number = np.cumsum(np.concatenate([[True], (row[1:] != row[:-1]) | (within[1:] != within[:-1])])) if len(held) else row
+    at = np.flatnonzero(within & held)
+    first = np.flatnonzero(np.concatenate([[True], number[at][1:] != number[at][:-1]])) if len(at) else at
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True):
+        if b - a + 1 >= least:
+            yield a, b
+
+
+def _found(out: list[tuple]) -> list[pa.Array]:
+    return [pa.array([o[i] for o in out], t) for i, t in enumerate(_FOUND_KINDS)]
+
+
+def _region_rows(regions: list[tuple], out: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (region, key, doc, low, shingles), and rows for links between copies."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in regions], t) for i, t in enumerate(kinds)), *(pa.nulls(len(regions), t) for t in _FOUND_KINDS)], [*REGION, *FOUND])
+    both = [x for a, b, n in out for x in ((*a, n, *b, n, 1.0), (*b, n, *a, n, 1.0))]
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(both), t) for t in kinds), *_found(both)], [*REGION, *FOUND])
+
+
+def _number(own: bytes) -> int:
+    return int(np.array([xxhash.xxh3_64_intdigest(own)], np.uint64).view(np.int64)[0])
+
+
+def _regions(filters: Broadcast, parts: int, least: int):
+    """The regions of each document, equal ones of this task joined to the first."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, known, regions, out, size = filters.value[0], {}, [], [], 0
         for batch in batches:
             docs, at = batch.column("doc_id").to_numpy(), 0
             for chunk in common.chunks(batch.column("text")):
                 hashes, bounds = common.shingles(chunk, WIDTH)
-                several = [common.mix(hashes ^ seed) for seed in _SEEDS]
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    if b - a >= least:
-                        for k in range(HASHES):
-                            own = np.array(compact_windows(several[k][a:b], least), np.int32)
-                            both = np.zeros(len(own), ENTRY)
-                            both["value"] = several[k][a + own[:, 1]] // np.uint64(HASHES) * np.uint64(HASHES) + np.uint64(k)
-                            both["doc"], both["l"], both["c"], both["r"] = docs[at], own[:, 0], own[:, 1], own[:, 2]
-                            held.append(both)
-                            size += len(both)
-                    at += 1
+                n = np.diff(bounds)
+                row = np.repeat(np.arange(len(n)), n)
+                held = _passes(_keys(hashes, parts), shared)
+                own = (np.bincount(row, held, len(n)) * (PER_LOSS + 1) >= least * PER_LOSS)[row]
+                where = np.flatnonzero(own)
+                for a, b in dense(held[own], row[own], least):
+                    a, b = int(where[a]), int(where[b])
+                    doc, low, piece = int(docs[at + row[a]]), a - int(bounds[row[a]]), hashes[a : b + 1].tobytes()
+                    key = _number(piece)
+                    first = known.setdefault(key, (doc, low))
+                    if first[0] != doc:
+                        out.append(((doc, low), first, b - a + WIDTH))
+                    else:
+                        regions.append((None, key, doc, low, piece))
+                        size += b - a + 1
+                at += chunk.n
+                if size >= SHINGLES_AT_ONCE or len(out) >= SHINGLES_AT_ONCE:
+                    yield from _region_rows(regions, out)
+                    regions, out, size = [], [], 0
+                if len(known) >= REGIONS_AT_ONCE:
+                    known = {}
+        yield from _region_rows(regions, out)
+
+    return rows
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first of equal regions; the others joined to it, or to the next where they are of its document."""
+    regions, out, size = [], [], 0
+    for table in common.runs(batches, "key"):
+        places = list(zip(table.column("doc").to_pylist(), table.column("low").to_pylist(), strict=True))
+        piece = table.column("shingles")[0].as_py()
+        first, other = places[0], next((p for p in places if p[0] != places[0][0]), None)
+        for i, place in enumerate(places):
+            if i and (to := first if place[0] != first[0] else other):
+                out.append((place, to, len(piece) // 8 + WIDTH - 1))
+            elif not i or place != first:
+                regions.append((_number(piece + np.array(place, np.int64).tobytes()), table.column("key")[0].as_py(), *place, piece))
+                size += len(piece) // 8
+        if size >= SHINGLES_AT_ONCE or len(out) >= SHINGLES_AT_ONCE:
+            yield from _region_rows(regions, out)
+            regions, out, size = [], [], 0
+    yield from _region_rows(regions, out)
+
+
+def _windows(parts: int, least: int):
+    """First windows of each value as blobs by part of the values, and the edges within this task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for region, piece in zip(batch.column("region").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                hashes = np.frombuffer(piece, np.uint64)
+                for k, seed in enumerate(_SEEDS):
+                    several = common.mix(hashes ^ seed)
+                    own = np.array(compact_windows(several, least), np.int32)
+                    _, widest = np.unique(several[own[:, 1]], return_index=True)  # parents come before their subtrees
+                    own = own[widest]
+                    both = np.zeros(len(own), ENTRY)
+                    both["value"] = several[own[:, 1]] // np.uint64(HASHES) * np.uint64(HASHES) + np.uint64(k)
+                    both["region"], both["l"], both["c"], both["r"] = region, own[:, 0], own[:, 1], own[:, 2]
+                    held.append(both)
+                    size += len(both)
                 if size >= AT_ONCE:
                     yield from _flushed(held, parts)
                     held, size = [], 0
@@ -157,76 +374,27 @@ def stretches(k: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> l
     return out
 
 
-def widened(found: list[tuple[int, int]], by: int) -> list[tuple[int, int]]:
-    """Stretches with so many shingles more on both sides, since their passage may go on; those that meet are one."""
-    out: list[tuple[int, int]] = []
-    for x, y in found:
-        if out and x - by <= out[-1][1] + 1:
-            x = out.pop()[0] + by
-        out.append((max(0, x - by), y + by))
-    return out
-
-
-def _spans(held: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges [a, b] of true values."""
-    ends = np.flatnonzero(np.diff(held.astype(np.int8), prepend=0, append=0))
-    return zip(ends[::2].tolist(), (ends[1::2] - 1).tolist(), strict=True)
-
-
-def shared_starts(k: np.ndarray, low: np.ndarray, at: np.ndarray, high: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """Ranges of starts of stretches of so many shingles that have a given window in every hash function."""
-    steps = np.zeros((HASHES, int(high.max()) + 2), np.int32)
-    first, last = np.maximum(low, at - least + 1), np.minimum(at, high - least + 1)
-    np.add.at(steps, (k, first), 1)
-    np.add.at(steps, (k, last + 1), -1)
-    return _spans((np.cumsum(steps, axis=1) > 0).all(axis=0))
-
-
 def _candidates(least: int):
-    """Stretches of member and center that may be copies; and, without center, starts of what member may share."""
+    """Regions that may hold near copies: aligned windows of enough functions have a stretch in common."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for table in common.runs(batches, "member"):
             member = table.column("member")[0].as_py()
             center, k, lc, cc, rc, lm, cm, rm = (table.column(n).to_numpy() for n in EDGE[1:])
-            shift = cm - cc
-            low, high = np.maximum(lc, lm - shift), np.minimum(rc, rm - shift)
+            low, high = np.maximum(lc, lm - cm + cc), np.minimum(rc, rm - cm + cc)
             cuts = [0, *(np.flatnonzero(center[1:] != center[:-1]) + 1).tolist(), len(center)]
-            out += [(member, None, None, None, x, y) for x, y in shared_starts(k, lm, cm, rm, least)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if center[a] == member:
-                    continue
                 own = a + np.flatnonzero(high[a:b] - low[a:b] + 1 >= least)
-                for x, y in widened(stretches(k[own], low[own], high[own], least), least) if len(own) >= ENOUGH else ():
-                    near = shift[own][(low[own] <= y) & (high[own] >= x)]
-                    out.append((member, int(center[a]), x, y, max(0, x + int(near.min())), y + int(near.max())))
+                if len(own) >= ENOUGH and stretches(k[own], low[own], high[own], least):
+                    out.append((member, int(center[a])))
             if len(out) >= 1 << 14:
                 yield made(out)
                 out = []
         yield made(out)
 
     def made(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], PAIR)
-
-    return rows
-
-
-def _payload(bits: Broadcast):
-    """The shingles of the documents that pass the filter, 32 bits each."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bits.value
-        for batch in batches:
-            at = batch.column("hash").to_numpy().astype(np.int64) % (len(words) * 64)
-            own = batch.filter(pa.array(((words[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)))
-            out = []
-            for chunk in common.chunks(own.column("text")):
-                hashes, bounds = common.shingles(chunk, WIDTH)
-                short = (hashes >> np.uint64(32)).astype(np.uint32)
-                out += [short[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(out, pa.binary())], ["doc", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["member", "center"])
 
     return rows
 
@@ -271,124 +439,276 @@ def _verified(least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                for c, c_size, m, m_size, similarity in matches(np.frombuffer(r["c_slice"], np.uint32), np.frombuffer(r["m_slice"], np.uint32), least):
-                    mine, theirs = (r["member"], r["m_low"] + m, m_size + WIDTH - 1), (r["center"], r["c_low"] + c, c_size + WIDTH - 1)
-                    out += [(*mine, *theirs, similarity), (*theirs, *mine, similarity)]
-            kinds = (*(pa.int64(), pa.int32(), pa.int32()) * 2, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["doc_id", "start_word", "n_words", "other_id", "other_start", "other_words", "similarity"])
+            for member, center, m_doc, m_low, c_doc, c_low, mine, theirs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for c, c_size, m, m_size, similarity in matches(np.frombuffer(theirs, np.uint64), np.frombuffer(mine, np.uint64), least):
+                    out.append((member, center, m, m + m_size - 1, c, c + c_size - 1, m_doc, m_low + m, m_size + WIDTH - 1, c_doc, c_low + c, c_size + WIDTH - 1, similarity))
+            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, *_FOUND_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], LINK)
 
     return rows
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The longest passages of each document in this partition, as ranges of shingles."""
-    held: dict[int, set[tuple[int, int]]] = {}
-    for batch in batches:
-        for d, a, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start_word", "n_words")), strict=True):
-            held.setdefault(d, set()).add((a, a + n - WIDTH))
-    out = []
-    for d, spans in held.items():
-        reach = -1
-        for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
-            if b > reach:
-                out.append((d, a, b))
-                reach = b
-    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["doc", "low", "high"])
+def _compared(pairs: DataFrame, regions: DataFrame, least: int) -> DataFrame:
+    """Verified near copies of pairs (member, center) of regions of different documents."""
+    whole = pairs
+    for side in ("member", "center"):
+        own = regions.select(F.col("region").alias(side), F.col("doc").alias(f"{side}_doc"), F.col("low").alias(f"{side}_low"), F.col("shingles").alias(f"{side}_shingles"))
+        whole = whole.join(own.hint("merge"), side)
+    whole = whole.where("member_doc <> center_doc")
+    return whole.select("member", "center", "member_doc", "member_low", "center_doc", "center_low", "member_shingles", "center_shingles").mapInArrow(_verified(least), LINK_SCHEMA)
+
+
+def in_common(least: int) -> int:
+    """IN_COMMON, or as many different shingles as copies of so many share at least, if none occurs REPEATED times."""
+    return max(1, min(IN_COMMON, int(np.ceil(SIMILARITY * least / (REPEATED - 1) - 1e-9))))
 
 
-def _starts(least: int):
-    """Ranges of starts, cut into those that a verified passage covers and the others (open)."""
+def prefixes(order: np.ndarray, row: np.ndarray, least: int) -> np.ndarray:
+    """Where, in rows of shingles with a place in one order, a stretch of so many has it and few before it.
+
+    These are a fifth, which a copy may lack, and those that are the first of IN_COMMON that the copy has.
+    The order is cut at some shares of each row's shingles, and what comes before the cut counts as before: no
+    place is missed, some more are taken.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+    sizes = np.diff(np.append(starts, len(row)))
+    by = np.lexsort((order, row))
+    again = np.zeros(len(row), bool)  # not the first time that the row holds it; lexsort is stable
+    again[by[1:]] = (row[by[1:]] == row[by[:-1]]) & (order[by[1:]] == order[by[:-1]])
+    number = np.repeat(np.arange(len(starts)), sizes)
+    out = np.zeros(len(row), bool)
+    limits = [order[by[starts + (sizes * share).astype(np.int64)]] for share in CUTS] if len(row) else []
+    for i, limit in enumerate(limits):
+        own = order >= limit[number]
+        if i + 1 < len(limits):
+            own &= order < limits[i + 1][number]
+        out |= own & (covered((order >= limit[number]) | again, number, least, in_common(least) - 1) if i else True)
+    return out
+
+
+def _nodes(least: int):
+    """Passages of each region; those that have so many shingles in common are one, named by a number."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.runs(batches, "doc"):
-            low, high, verified = (table.column(n).to_numpy() for n in ("low", "high", "verified"))
-            starts = np.zeros(int(high.max()) + 1, bool)
-            covered = starts.copy()
-            for a, b, v in zip(low.tolist(), high.tolist(), verified.tolist(), strict=True):
-                (covered if v else starts)[a : b - least + 2 if v else b + 1] = True
-            out = [(a, b, is_open) for is_open in (True, False) for a, b in _spans(starts & (covered ^ is_open))]
-            kinds = (pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([table.column("doc")[0].as_py()] * len(out), pa.int64()), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], ["doc", "low", "high", "open"])
+        for table in common.runs(batches, "region"):
+            region, out, node, reach = table.column("region")[0].as_py(), [], 0, -1
+            for a, b in sorted(zip(table.column("low").to_pylist(), table.column("high").to_pylist(), strict=True)):
+                if reach - a + 1 < least:
+                    node = _number(np.array([region, a], np.int64).tobytes())
+                    reach = b
+                reach = max(reach, b)
+                out.append((region, a, b, node))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["region", "low", "high", "node"])
 
     return rows
 
 
-def stretch_hashes(shingles: np.ndarray, least: int) -> np.ndarray:
-    """A 64-bit number for every stretch of so many shingles."""
-    up, down = common._powers_to(len(shingles))
-    sums = np.zeros(len(shingles) + 1, np.uint64)
-    np.cumsum(common.mix(shingles) * up[: len(shingles)], out=sums[1:])
-    return common.mix((sums[least:] - sums[:-least]) * down[: len(sums) - least])
+def _labels(links: DataFrame, parts: int, least: int) -> DataFrame:
+    """For each region its verified passages as an array of (low, high, label); passages joined by links have one label."""
+    sides = [("member", "m_low", "m_high"), ("center", "c_low", "c_high")]
+    ends = [links.select(*(F.col(c).alias(n) for c, n in zip(side, ("region", "low", "high"), strict=True))) for side in sides]
+    nodes = ends[0].union(ends[1]).distinct().repartition(parts, "region").sortWithinPartitions("region")
+    nodes = common.stored(nodes.mapInArrow(_nodes(least), "region long, low int, high int, node long"))
+    edges = links
+    for side, name in zip(sides, "ab", strict=True):
+        edges = edges.join(nodes.select(*(F.col(n).alias(c) for c, n in zip(side, ("region", "low", "high"), strict=True)), F.col("node").alias(name)), list(side))
+    components = common.connected_components(edges.select("a", "b").distinct())
+    labelled = nodes.join(components, "node", "left").select("region", F.struct("low", "high", F.coalesce("component", "node").alias("label")).alias("passage"))
+    return common.stored(labelled.groupBy("region").agg(F.collect_list("passage").alias("passages")))
 
 
-def _open_bits(starts: DataFrame, least: int, n: int) -> np.ndarray:
-    """A one-hash Bloom filter over the hashes of n open stretches, of FILTER_MOST bits at most."""
-    bits = min(FILTER_MOST, 64 << int(np.ceil(np.log2(max(1, n * FILTER_EACH / 64)))))
+def _holders(filters: Broadcast, parts: int, least: int):
+    """Blobs by part of (shingle, region, label, weight) for the prefixes of regions; a label names the passage's class.
+
+    What lies between or beside passages and is too short for one has its neighbour's label: a passage that
+    holds some of it overlaps the neighbour.
+    """
+
+    def made(regions: list[tuple]) -> pa.RecordBatch:
+        hashes = [np.frombuffer(r[1], np.uint64) for r in regions]
+        sizes = [len(h) for h in hashes]
+        labels = [np.full(n, r[0], np.int64) for r, n in zip(regions, sizes, strict=True)]
+        for label, (region, _, passages) in zip(labels, regions, strict=True):
+            within = np.zeros(len(label), bool)
+            for p in sorted(passages or (), key=lambda p: (-p["label"], p["low"])):
+                label[p["low"] : p["high"] + 1], within[p["low"] : p["high"] + 1] = p["label"], True
+            for a, b in _spans(~within) if passages else ():
+                if b - a + 1 < least:
+                    label[a : b + 1] = label[a - 1] if a else label[b + 1]
+        weights = np.array([in_common(least) if np.unique(h, return_counts=True)[1].max() >= REPEATED else 1 for h in hashes], np.uint8)
+        tokens, row = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.repeat(np.arange(len(sizes)), sizes)
+        keys, level = _keys(tokens, parts), np.zeros(len(tokens), np.uint64)
+        for words in filters.value[1:]:
+            level += _passes(keys, words)
+        at = np.flatnonzero(prefixes(level << np.uint64(62) | tokens >> np.uint64(2), row, least) & _passes(keys, filters.value[0]))
+        entries = np.zeros(len(at), HOLDER)
+        entries["token"], entries["region"], entries["weight"] = tokens[at], np.array([r[0] for r in regions], np.int64)[row[at]], weights[row[at]]
+        entries["label"] = np.concatenate([np.zeros(0, np.int64), *labels])[at]
+        order, full, cuts = _dealt(entries["token"], parts)
+        entries = entries[order]
+        blobs = [entries[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(full), pa.array(blobs[: len(full)], pa.binary())], ["part", "blob"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            hashes = [stretch_hashes(np.frombuffer(x, np.uint32), least) for x in batch.column("slice").to_pylist()]
-            at = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]) % np.uint64(bits))
-            word, first = np.unique(at // np.uint64(64), return_index=True)
-            own = np.bitwise_or.reduceat(np.uint64(1) << at % np.uint64(64), first) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(own.view(np.int64))], ["word", "bits"])
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(r)
+                size += len(r[1]) // 8
+                if size >= COUNT_AT_ONCE // 4:
+                    yield made(held)
+                    held, size = [], 0
+        yield made(held)
+
+    return rows
+
 
-    words = starts.where("open").mapInArrow(rows, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64)
+def _pairs(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """Pairs of different regions with the sum of their weights."""
+    low, high, weight = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y], weight[x != y].astype(np.int64)
+    by = np.lexsort((low, high))
+    low, high, weight = low[by], high[by], weight[by]
+    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
+    total = np.add.reduceat(weight, first) if len(first) else weight
+    return pa.RecordBatch.from_arrays([pa.array(high[first]), pa.array(low[first]), pa.array(total)], ["member", "center", "weight"])
 
 
-def _same(bits: Broadcast, parts: int, least: int):
-    """Entries of the stretches that pass the filter, by the hash of all their shingles, joined as windows are."""
+def _met(turn: int | None):
+    """Pairs of regions that hold a shingle under different labels: all, or in some turn each with one of the commonest label."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = bits.value, [], 0
-        for batch in batches:
-            for doc, low, piece in zip(*(batch.column(c).to_pylist() for c in ("doc", "low", "slice")), strict=True):
-                hashes = stretch_hashes(np.frombuffer(piece, np.uint32), least)
-                at = hashes % np.uint64(len(words) * 64)
-                own = np.flatnonzero(words[at // np.uint64(64)] >> at % np.uint64(64) & np.uint64(1))
-                entries = np.zeros(len(own), ENTRY)
-                entries["value"], entries["doc"] = hashes[own], doc
-                entries["l"] = entries["c"] = entries["r"] = low + own
-                held.append(entries)
-                size += len(own)
-                if size >= AT_ONCE:
-                    yield from _flushed(held, parts)
-                    held, size = [], 0
-        yield from _flushed(held, parts)
+        blobs = [x for batch in batches for x in batch.column("blob").to_pylist()]
+        entries = np.frombuffer(b"".join(blobs), HOLDER)
+        del blobs
+        if not len(entries):
+            return
+        entries = entries[np.lexsort((entries["region"], entries["label"], entries["token"]))]
+        again = np.zeros(len(entries), bool)
+        again[1:] = entries[["token", "region", "label"]][1:] == entries[["token", "region", "label"]][:-1]
+        entries = entries[~again]
+        token, region, label, weight = (np.ascontiguousarray(entries[n]) for n in HOLDER.names)
+        fresh = np.concatenate([[True], token[1:] != token[:-1]])
+        other = fresh | np.concatenate([[True], label[1:] != label[:-1]])
+        at = np.arange(len(token))
+        start, mine = np.maximum.accumulate(np.where(fresh, at, 0)), np.maximum.accumulate(np.where(other, at, 0))
+        if turn is not None:
+            groups = np.flatnonzero(other)
+            sizes = np.diff(np.append(groups, len(token)))
+            of = np.cumsum(fresh)[groups] - 1
+            by = np.lexsort((-sizes, of))
+            chief = by[np.flatnonzero(np.concatenate([[True], of[by][1:] != of[by][:-1]]))][np.cumsum(fresh) - 1]
+            own = np.flatnonzero(label != label[groups[chief]])
+            one = common.mix(token[own] ^ region[own].view(np.uint64) + np.uint64(turn)) % sizes[chief[own]].astype(np.uint64)
+            theirs = groups[chief[own]] + one.astype(np.int64)
+            for a in range(0, len(own), PAIRS_AT_ONCE):
+                x, y = own[a : a + PAIRS_AT_ONCE], theirs[a : a + PAIRS_AT_ONCE]
+                yield _pairs(region[x], region[y], np.maximum(weight[x], weight[y]))
+            return
+        n = mine - start  # of the same shingle under an earlier label
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(n):
+            done = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
+            x = np.repeat(at[a:b], n[a:b])
+            y = np.repeat(start[a:b] - (ends[a:b] - n[a:b]), n[a:b]) + done + np.arange(len(x))
+            yield _pairs(region[x], region[y], np.maximum(weight[x], weight[y]))
+            a = b
 
     return rows
 
 
-def _copies(least: int):
-    """Consecutive equal stretches of member and center as one candidate."""
+def stretch_hashes(shingles: np.ndarray, least: int) -> np.ndarray:
+    """A 64-bit number for every stretch of so many shingles."""
+    up, down = common._powers_to(len(shingles))
+    sums = np.zeros(len(shingles) + 1, np.uint64)
+    np.cumsum(common.mix(shingles) * up[: len(shingles)], out=sums[1:])
+    return common.mix((sums[least:] - sums[:-least]) * down[: len(sums) - least])
+
+
+def _open(least: int, parts: int, bits: Broadcast | None = None):
+    """Hashes of exact stretches that no verified passage covers whole; with a filter, blobs by part of its stretches."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in common.runs(batches, "member"):
-            center, cc, cm = (table.column(n).to_numpy().astype(np.int64) for n in ("center", "cc", "cm"))
-            order = np.lexsort((cm, cm - cc, center))
-            center, cc, cm = center[order], cc[order], cm[order]
-            fresh = np.ones(len(cm), bool)
-            fresh[1:] = (center[1:] != center[:-1]) | (cm[1:] - cc[1:] != cm[:-1] - cc[:-1]) | (cm[1:] - cm[:-1] > 1)
-            first = np.flatnonzero(fresh)
-            last = np.append(first[1:], len(cm)) - 1
-            ends = [cc[first], cc[last] + least - 1, cm[first], cm[last] + least - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), table.column("member")[0].as_py())), pa.array(center[first]), *(pa.array(e.astype(np.int32)) for e in ends)], PAIR)
+        held, size = [], 0
+        for batch in batches:
+            for doc, low, piece, passages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shingles = np.frombuffer(piece, np.uint64)
+                hashes, covered_to = stretch_hashes(shingles, least), np.zeros(len(shingles), np.int64)
+                for p in passages or ():
+                    covered_to[p["low"]] = max(covered_to[p["low"]], p["high"] + 1)
+                entries = np.zeros(len(hashes), SAME)
+                entries["value"], entries["doc"], entries["at"] = hashes, doc, low + np.arange(len(hashes))
+                entries["open"] = np.maximum.accumulate(covered_to)[: len(hashes)] < np.arange(len(hashes)) + least
+                if bits is None:
+                    entries = entries[entries["open"]]
+                else:
+                    entries = entries[_passes(common.mix(hashes), bits.value)]
+                held.append(entries)
+                size += len(entries)
+            if size >= AT_ONCE:
+                yield made(np.concatenate(held))
+                held, size = [], 0
+        yield made(np.concatenate([np.zeros(0, SAME), *held]))
+
+    def made(entries: np.ndarray) -> pa.RecordBatch:
+        if bits is None:
+            values = np.unique(entries["value"])
+            return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([len(values)], pa.int64()), pa.array([values.tobytes()], pa.binary())], ["level", "n", "blob"])
+        entries = entries[_partners(entries)[1]]
+        order, full, cuts = _dealt(entries["value"], parts)
+        entries = entries[order]
+        blobs = [entries[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(full), pa.array(blobs[: len(full)], pa.binary())], ["part", "blob"])
 
     return rows
 
 
-def _piece(low: str, high: str, more: int = 0):
-    return F.substring(F.col("shingles"), F.col(low) * 4 + 1, (F.col(high) - F.col(low) + 1 + more) * 4)
+def _partners(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the first of its value in another document, or -1; and which entries are open or the first of a value's first two documents."""
+    by = np.lexsort((entries["at"], entries["doc"], entries["value"]))
+    value, doc = entries["value"][by], entries["doc"][by]
+    fresh, own = np.ones(len(by), bool), np.ones(len(by), bool)
+    fresh[1:] = value[1:] != value[:-1]
+    own[1:] = fresh[1:] | (doc[1:] != doc[:-1])
+    group = np.cumsum(fresh) - 1
+    first = np.flatnonzero(fresh)
+    which = np.cumsum(own) - np.cumsum(own)[first][group] if len(by) else group  # 0 for a value's first document, then 1
+    second = np.full(len(first), -1)
+    at = np.flatnonzero(own & (which == 1))
+    second[group[at]] = at
+    partner = np.where(which > 0, first[group], second[group]) if len(by) else group
+    out, kept = np.full(len(by), -1), np.zeros(len(by), bool)
+    out[by] = np.where(partner >= 0, by[partner], -1) if len(by) else out
+    kept[by] = own & (which <= 1)
+    return out, kept | entries["open"]
+
+
+def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open stretches and the first place in another document that has the same."""
+    entries = np.frombuffer(b"".join(x for batch in batches for x in batch.column("blob").to_pylist()), SAME)
+    partner = _partners(entries)[0]
+    own = np.flatnonzero(entries["open"] & (partner >= 0))
+    theirs = partner[own]
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (entries["doc"][own], entries["at"][own], entries["doc"][theirs], entries["at"][theirs])], ["doc", "at", "other", "other_at"])
 
 
-def _compared(pairs: DataFrame, shingled: DataFrame, least: int) -> DataFrame:
-    whole = pairs.join(shingled.hint("merge"), F.col("center") == F.col("doc")).select(*pairs.columns, _piece("c_low", "c_high").alias("c_slice"))
-    whole = whole.join(shingled.hint("merge"), F.col("member") == F.col("doc")).select("member", "center", "c_low", "m_low", "c_slice", _piece("m_low", "m_high").alias("m_slice"))
-    return whole.mapInArrow(_verified(least), FOUND_SCHEMA)
+def _copies(least: int):
+    """Consecutive equal stretches as one passage."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in common.runs(batches, "doc"):
+            at, other, theirs = (table.column(n).to_numpy().astype(np.int64) for n in ("at", "other", "other_at"))
+            order = np.lexsort((at, theirs - at, other))
+            at, other, theirs = at[order], other[order], theirs[order]
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (other[1:] != other[:-1]) | (theirs[1:] - at[1:] != theirs[:-1] - at[:-1]) | (at[1:] - at[:-1] > 1)
+            first = np.flatnonzero(fresh)
+            words = (at[np.append(first[1:], len(at)) - 1] - at[first] + least + WIDTH - 1).astype(np.int32)
+            columns = (np.full(len(first), table.column("doc")[0].as_py()), at[first].astype(np.int32), words, other[first], theirs[first].astype(np.int32), words, np.ones(len(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], FOUND)
+
+    return rows
 
 
 def repeated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -402,29 +722,41 @@ def repeated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     common.prepare(spark)
     parts, least = common.partitions(spark), min_words - WIDTH + 1
 
-    def dealt(found: DataFrame) -> DataFrame:
-        found = found.withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("member"), F.lit(parts)).cast("int")))
-        edges = found.repartitionById(parts, F.col("part")).mapInArrow(_shared, EDGE_SCHEMA)
-        return edges.repartition(parts, "member").sortWithinPartitions("member", "center", "cc")
-
-    def shingles_of(ids: DataFrame) -> DataFrame:
-        bits = spark.sparkContext.broadcast(_filter_bits(common.stored(ids.distinct())))
-        return common.stored(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(_payload(bits), "doc long, shingles binary"))
-
-    blobs = f"part int, blob binary, {EDGE_SCHEMA}"
-    either = common.stored(dealt(docs.mapInArrow(_windows(parts, least), blobs)).mapInArrow(_candidates(least), PAIR_SCHEMA))
-    pairs, shared = either.where("center is not null"), either.where("center is null")
-    shingled = shingles_of(either.select(F.col("member").alias("id")))
-    found = common.stored(_compared(pairs, shingled, least))
-
-    covered = found.select("doc_id", "start_word", "n_words").mapInArrow(_covered, "doc long, low int, high int")
-    spans = shared.select(F.col("member").alias("doc"), F.col("m_low").alias("low"), F.col("m_high").alias("high"), F.lit(False).alias("verified")).union(covered.withColumn("verified", F.lit(True)))
-    spans = spans.repartition(parts, "doc").sortWithinPartitions("doc")
-    starts = common.stored(spans.mapInArrow(_starts(least), "doc long, low int, high int, open boolean"))
-    n = starts.where("open").agg(F.sum(F.expr("cast(high - low + 1 as bigint)"))).first()[0]
-    if not n:
-        return found
-    starts = common.stored(starts.join(shingled.hint("merge"), "doc").select("doc", "low", "open", _piece("low", "high", least - 1).alias("slice")))
-    bits = spark.sparkContext.broadcast(_open_bits(starts, least, n))
-    edges = dealt(starts.select("doc", "low", "slice").mapInArrow(_same(bits, parts, least), blobs)).where("member <> center")
-    return found.union(_compared(common.stored(edges.mapInArrow(_copies(least), PAIR_SCHEMA)), shingled, least)).distinct()
+    often = docs.select("text").mapInArrow(_counts(parts, least), "part int, blob binary")
+    often = common.stored(often.repartitionById(parts, F.col("part")).mapInArrow(_often, "level int, n long, blob binary"))
+    filters = spark.sparkContext.broadcast(_filters(often))
+    every = common.stored(docs.mapInArrow(_regions(filters, parts, least), REGION_SCHEMA))
+    regions = every.where("doc is not null").select(*REGION).repartition(parts, "key").sortWithinPartitions("key", "doc", "low")
+    regions = common.stored(regions.mapInArrow(_distinct, REGION_SCHEMA))
+    copies = [t.where("doc is null").select(*FOUND) for t in (every, regions)]
+    regions = regions.where("doc is not null").select(*REGION)
+
+    met = regions.select("region", "shingles").mapInArrow(_windows(parts, least), f"part int, blob binary, {EDGE_SCHEMA}")
+    met = met.withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("member"), F.lit(parts)).cast("int")))
+    edges = met.repartitionById(parts, F.col("part")).mapInArrow(_shared, EDGE_SCHEMA)
+    pairs = edges.repartition(parts, "member").sortWithinPartitions("member", "center").mapInArrow(_candidates(least), "member long, center long")
+    tried = [common.stored(pairs)]
+    links = [common.stored(_compared(tried[0], regions, least))]
+    labels = _labels(links[0], parts, least)
+    for turn in [*range(ROUNDS), None]:
+        if turn and links[-1].isEmpty():
+            continue
+        held = regions.select("region", "shingles").join(labels, "region", "left").mapInArrow(_holders(filters, parts, least), "part int, blob binary")
+        pairs = held.repartitionById(parts, F.col("part")).mapInArrow(_met(turn), PAIR_SCHEMA)
+        pairs = pairs.groupBy("member", "center").agg(F.sum("weight").alias("weight"))
+        if turn is None:
+            pairs = pairs.where(F.col("weight") >= in_common(least))
+        pairs = pairs.select("member", "center").join(functools.reduce(DataFrame.union, tried), ["member", "center"], "left_anti")
+        tried.append(common.stored(pairs))
+        links.append(common.stored(_compared(tried[-1], regions, least)))
+        if not links[-1].isEmpty():
+            labels = _labels(functools.reduce(DataFrame.union, links), parts, least)
+    held = common.stored(regions.join(labels, "region", "left").select("doc", "low", "shingles", "passages"))
+    bits = common.stored(held.mapInArrow(_open(least, parts), "level int, n long, blob binary"))
+    bits = spark.sparkContext.broadcast(_filters(bits, 1)[0])
+    same = held.mapInArrow(_open(least, parts, bits), "part int, blob binary").repartitionById(parts, F.col("part"))
+    same = same.mapInArrow(_same, "doc long, at int, other long, other_at int").repartition(parts, "doc").sortWithinPartitions("doc")
+
+    found = functools.reduce(DataFrame.union, links).select(*FOUND).union(same.mapInArrow(_copies(least), FOUND_SCHEMA))
+    back = found.select(*(F.col(n).alias(m) for n, m in zip([*FOUND[3:6], *FOUND[:3], FOUND[6]], FOUND, strict=True)))
+    return found.union(back).union(copies[0]).union(copies[1]).distinct()

@@ -163,3 +163,45 @@ def test_a_replaced_middle_leaves_a_near_copy(make):
     got = {(r.doc_id, r.other_id) for r in passages.repeated(make(rows)).collect()}
     assert sum((2 * i, 2 * i + 1) in got for i in range(20)) >= 15
     assert all(a // 2 == b // 2 for a, b in got)
+
+
+def test_every_near_copy_is_found_behind_any_documents_with_less(make):
+    assert found_share(make, 0) == 1
+    assert found_share(make, 1) == 1
+    assert found_share(make, 3) == 1
+
+
+def test_no_prefix_misses_what_copies_have_in_common_first():
+    rnd = np.random.default_rng(7)
+    for _ in range(30):
+        base = rnd.integers(0, 1 << 30, 90).astype(np.uint64)
+        sides, kept = [], rnd.random(90) < 0.9
+        for _ in range(2):
+            side = base.copy()
+            side[~kept & (rnd.random(90) < 0.5)] = rnd.integers(0, 1 << 30)
+            sides.append(np.concatenate([rnd.integers(0, 1 << 30, 40).astype(np.uint64), side, rnd.integers(0, 1 << 30, 20).astype(np.uint64)]))
+        rows = np.repeat([0, 1], 150)
+        taken = passages.prefixes(np.concatenate(sides), rows, 46).reshape(2, 150)
+        both = np.intersect1d(sides[0][40:130], sides[1][40:130])
+        if len(both) >= 0.8 * max(len(np.unique(s[40:130])) for s in sides):
+            for i in (0, 1):
+                assert set(both[: passages.in_common(46)].tolist()) <= set(sides[i][taken[i]].tolist())
+
+
+def test_all_that_is_linked_meets_along_a_chain(make):
+    """Each text is a near copy of the next only: the links found connect all of them, whichever comes first."""
+    rnd = random.Random(17)
+    rows = []
+    for i in range(20):
+        words = prose(rnd, 100)
+        order = list(range(8))
+        rnd.shuffle(order)
+        for j in range(8):
+            rows.append((10 * i + order[j], " ".join([*prose(rnd, 30), *words, *prose(rnd, 30)])))
+            words = list(words)
+            words[10 * j + 12 : 10 * j + 14] = [f"new{rnd.randrange(10**6)}", f"new{rnd.randrange(10**6)}"]
+    root = {d: d for d, _ in rows}
+    for r in passages.repeated(make(rows)).collect():
+        a, b = root[r.doc_id], root[r.other_id]
+        root = {d: a if c == b else c for d, c in root.items()}
+    assert len(set(root.values())) == 20
