@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -52,7 +53,7 @@ PER_LOSS = round(SIMILARITY / (1 - SIMILARITY))
 #: Shares of a region's shingles at which its order is cut to find its prefix; a coarser cut only makes the prefix longer.
 CUTS = (0, 0.04, 0.08, 0.12, 0.16, 0.2, 0.24, 0.28, 0.33, 0.4, 0.5, 0.65, 0.8)
 #: Shingles that two regions must have in common in their prefixes; where one of a region's occurs so often, any one will do.
-IN_COMMON, REPEATED = 8, 6
+IN_COMMON, REPEATED = 2, 6
 #: Rounds in which regions under other labels meet one of the commonest label alone.
 ROUNDS = 2
 #: Pairs, regions or shingles that a task holds at a time.
@@ -437,10 +438,13 @@ def matches(center: np.ndarray, member: np.ndarray, least: int) -> list[tuple[in
 
 def _verified(least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for member, center, m_doc, m_low, c_doc, c_low, mine, theirs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for c, c_size, m, m_size, similarity in matches(np.frombuffer(theirs, np.uint64), np.frombuffer(mine, np.uint64), least):
+        for tile in common.runs(batches, "tile"):
+            is_pair, out = tile.column("center").is_valid(), []
+            columns = (tile.filter(pc.invert(is_pair)).column(n).to_pylist() for n in ("region", "doc", "low", "shingles"))
+            held = {r: (doc, low, np.frombuffer(piece, np.uint64)) for r, doc, low, piece in zip(*columns, strict=True)}
+            for member, center in zip(*(tile.filter(is_pair).column(n).to_pylist() for n in ("region", "center")), strict=True):
+                (m_doc, m_low, mine), (c_doc, c_low, theirs) = held[member], held[center]
+                for c, c_size, m, m_size, similarity in matches(theirs, mine, least) if m_doc != c_doc else ():
                     out.append((member, center, m, m + m_size - 1, c, c + c_size - 1, m_doc, m_low + m, m_size + WIDTH - 1, c_doc, c_low + c, c_size + WIDTH - 1, similarity))
             kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, *_FOUND_KINDS)
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], LINK)
@@ -448,14 +452,20 @@ def _verified(least: int):
     return rows
 
 
-def _compared(pairs: DataFrame, regions: DataFrame, least: int) -> DataFrame:
-    """Verified near copies of pairs (member, center) of regions of different documents."""
-    whole = pairs
-    for side in ("member", "center"):
-        own = regions.select(F.col("region").alias(side), F.col("doc").alias(f"{side}_doc"), F.col("low").alias(f"{side}_low"), F.col("shingles").alias(f"{side}_shingles"))
-        whole = whole.join(own.hint("merge"), side)
-    whole = whole.where("member_doc <> center_doc")
-    return whole.select("member", "center", "member_doc", "member_low", "center_doc", "center_low", "member_shingles", "center_shingles").mapInArrow(_verified(least), LINK_SCHEMA)
+def _compared(pairs: DataFrame, regions: DataFrame, parts: int, least: int) -> DataFrame:
+    """Verified near copies of stored pairs (member, center) of regions of different documents.
+
+    Pairs are dealt to tiles by both regions, and a tile is sent each of its regions once.
+    """
+    side = max(8, int(np.ceil((2 * parts) ** 0.5)))
+    row, column = (F.pmod(F.xxhash64(n), F.lit(side)) for n in ("member", "center"))
+    pairs = pairs.select((row * side + column).alias("tile"), "member", "center")
+    wanted = pairs.select("tile", F.col("member").alias("region")).union(pairs.select("tile", "center")).distinct()
+    held = wanted.join(regions.select("region", "doc", "low", "shingles").hint("merge"), "region")
+    rows = held.select("tile", "region", F.lit(None).cast("long").alias("center"), "doc", "low", "shingles")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("doc", "long"), ("low", "int"), ("shingles", "binary"))]
+    rows = rows.union(pairs.select("tile", F.col("member").alias("region"), "center", *nothing))
+    return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verified(least), LINK_SCHEMA)
 
 
 def in_common(least: int) -> int:
@@ -736,7 +746,7 @@ def repeated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     edges = met.repartitionById(parts, F.col("part")).mapInArrow(_shared, EDGE_SCHEMA)
     pairs = edges.repartition(parts, "member").sortWithinPartitions("member", "center").mapInArrow(_candidates(least), "member long, center long")
     tried = [common.stored(pairs)]
-    links = [common.stored(_compared(tried[0], regions, least))]
+    links = [common.stored(_compared(tried[0], regions, parts, least))]
     labels = _labels(links[0], parts, least)
     for turn in [*range(ROUNDS), None]:
         if turn and links[-1].isEmpty():
@@ -748,7 +758,7 @@ def repeated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             pairs = pairs.where(F.col("weight") >= in_common(least))
         pairs = pairs.select("member", "center").join(functools.reduce(DataFrame.union, tried), ["member", "center"], "left_anti")
         tried.append(common.stored(pairs))
-        links.append(common.stored(_compared(tried[-1], regions, least)))
+        links.append(common.stored(_compared(tried[-1], regions, parts, least)))
         if not links[-1].isEmpty():
             labels = _labels(functools.reduce(DataFrame.union, links), parts, least)
     held = common.stored(regions.join(labels, "region", "left").select("doc", "low", "shingles", "passages"))
