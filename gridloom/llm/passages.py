@@ -52,7 +52,7 @@ LEVELS = (2, 16, 128)
 PER_LOSS = round(SIMILARITY / (1 - SIMILARITY))
 #: Shares of a region's shingles at which its order is cut to find its prefix; a coarser cut only makes the prefix longer.
 CUTS = (0, 0.04, 0.08, 0.12, 0.16, 0.2, 0.24, 0.28, 0.33, 0.4, 0.5, 0.65, 0.8)
-#: Shingles that two regions must have in common in their prefixes; where one of a region's occurs so often, any one will do.
+#: Different shingles that two regions must have in common in their prefixes, unless copies consist of one; so often one may occur among few.
 IN_COMMON, REPEATED = 2, 6
 #: Rounds in which regions under other labels meet one of the commonest label alone.
 ROUNDS = 2
@@ -63,11 +63,13 @@ HOLDER = np.dtype([("token", "<u8"), ("region", "<i8"), ("label", "<i8"), ("weig
 EDGE = ("member", "center", "k", "lc", "cc", "rc", "lm", "cm", "rm")
 EDGE_SCHEMA = "member long, center long, k int, lc int, cc int, rc int, lm int, cm int, rm int"
 REGION = ["region", "key", "doc", "low", "shingles"]
+PLACES, PLACES_SCHEMA = ["region", "n", "at", "tokens", "weights"], "region long, n int, at binary, tokens binary, weights binary"
 FOUND = ["doc_id", "start_word", "n_words", "other_id", "other_start", "other_words", "similarity"]
 FOUND_SCHEMA = "doc_id long, start_word int, n_words int, other_id long, other_start int, other_words int, similarity double"
 REGION_SCHEMA = f"region long, key long, doc long, low int, shingles binary, {FOUND_SCHEMA}"
 LINK = ["member", "center", "m_low", "m_high", "c_low", "c_high", *FOUND]
 LINK_SCHEMA = f"member long, center long, m_low int, m_high int, c_low int, c_high int, {FOUND_SCHEMA}"
+SIDES = (("member", "m_low", "m_high"), ("center", "c_low", "c_high"))
 SAME = np.dtype([("value", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("open", "?")])
 PAIR_SCHEMA = "member long, center long, weight long"
 _SEEDS = common.numbers(HASHES, 41)
@@ -210,11 +212,16 @@ def _keys(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 def covered(held: np.ndarray, row: np.ndarray, least: int, more: int = 0) -> np.ndarray:
     """What lies in a stretch of so many within one row (row: ascending) that are held but for a fifth, and some more."""
-    at = np.arange(len(held)) + row + 1  # before each row something that no stretch makes up for
-    size, slack = at[-1] + 1 if len(at) else 0, (PER_LOSS + 1) * more
-    before = np.full(size + 1, -len(held) - slack - 1)
+    return _covered(np.where(held, 1, -PER_LOSS), row, least, (PER_LOSS + 1) * more)
+
+
+def _covered(gains: np.ndarray, row: np.ndarray, least: int, slack: int) -> np.ndarray:
+    """What lies in a stretch of so many within one row whose gains sum up to -slack or more."""
+    at = np.arange(len(gains)) + row + 1  # before each row something that no stretch makes up for
+    size = at[-1] + 1 if len(at) else 0
+    before = np.full(size + 1, -len(gains) - slack - 1)
     before[0] = 0
-    before[at + 1] = np.where(held, 1, -PER_LOSS)
+    before[at + 1] = gains
     np.cumsum(before, out=before)
     best = np.maximum.accumulate(before[::-1])[::-1]
     last = np.searchsorted(-best, slack - before, "right") - 1
@@ -400,39 +407,78 @@ def _candidates(least: int):
     return rows
 
 
+def indexed(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different shingles, for each place the number of its shingle, and the place before that has the same (or -1)."""
+    by = np.argsort(shingles, kind="stable")
+    values = shingles[by]
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    code, before = np.zeros(len(by), np.int32), np.full(len(by), -1, np.int32)
+    code[by] = np.cumsum(fresh) - 1
+    again = np.flatnonzero(~fresh)
+    before[by[again]] = by[again - 1]
+    return values[fresh], code, before
+
+
+def fewest(before: np.ndarray, least: int) -> int:
+    """How many different shingles every stretch of so many holds at least."""
+    at = np.arange(len(before))
+    since = np.maximum(before, at - least) + 1  # stretches that begin from here to the place have it as the first of its kind
+    steps = np.bincount(since, minlength=len(before) + 1) - (np.arange(len(before) + 1) > 0)
+    return int(np.cumsum(steps)[: len(before) - least + 1].min(initial=least))
+
+
 def matches(center: np.ndarray, member: np.ndarray, least: int) -> list[tuple[int, int, int, int, float]]:
-    """(start, size) in center, (start, size) in member, similarity of the runs that are near copies.
+    """(start, size) in center, (start, size) in member, similarity of the runs that are near copies."""
+    center, member = indexed(center), indexed(member)
+    return matched(center, member, max(fewest(center[2], least), fewest(member[2], least)), least)
+
+
+def matched(center: tuple, member: tuple, different: int, least: int) -> list[tuple[int, int, int, int, float]]:
+    """Matches of two indexed regions, one of which holds so many different shingles in every stretch of at least least.
 
     All matches are one run at first. A run that is too unlike as a whole is split at its widest gap, down to
-    exact runs; so is the part of center that it is compared with.
+    exact runs; so is the part of center that it is compared with. Different shingles of a range are counted
+    where the place before that has the same lies outside.
     """
-    out = []
-    runs = [np.flatnonzero(np.isin(member, center))]
+    (values, theirs, before_theirs), (own_values, own, before_own) = center, member
+    place = np.minimum(np.searchsorted(values, own_values), len(values) - 1)
+    common_values = values[place] == own_values if len(values) else np.zeros(len(own_values), bool)
+    if np.count_nonzero(common_values) < max(1, SIMILARITY * different - 1e-9):
+        return []
+    held, out = common_values[own], []
+    def long(*ranges: np.ndarray) -> list[np.ndarray]:
+        return [x for x in ranges if len(x) and x[-1] - x[0] + 1 >= least]
+
+    runs = long(np.flatnonzero(held))
     while runs:
         run = runs.pop()
-        if not len(run) or run[-1] - run[0] + 1 < least:
-            continue
-        own = member[run[0] : run[-1] + 1]
-        own_set = np.unique(own)
-        parts = [np.flatnonzero(np.isin(center, own))] if len(np.unique(member[run])) >= SIMILARITY * len(own_set) else []
+        a, b = int(run[0]), int(run[-1]) + 1
+        fresh = before_own[a:b] < a
+        n_own = np.count_nonzero(fresh)
+        parts = []
+        if np.count_nonzero(fresh & held[a:b]) >= SIMILARITY * n_own:
+            wanted = np.zeros(len(values), bool)
+            wanted[place[own[run]]] = True
+            hit = wanted[theirs]
+            parts = long(np.flatnonzero(hit))
         while parts:
             far = parts.pop(max(range(len(parts)), key=lambda i: len(parts[i])))
-            if far[-1] - far[0] + 1 < least:
-                continue
-            theirs = np.unique(center[far[0] : far[-1] + 1])
-            both = len(np.intersect1d(own_set, theirs, assume_unique=True))
-            similarity = both / (len(own_set) + len(theirs) - both)
+            c, d = int(far[0]), int(far[-1]) + 1
+            fresh = before_theirs[c:d] < c
+            n_theirs, both = np.count_nonzero(fresh), np.count_nonzero(fresh & hit[c:d])
+            similarity = both / (n_own + n_theirs - both)
             if similarity >= SIMILARITY:
-                out.append((int(far[0]), int(far[-1] - far[0]) + 1, int(run[0]), int(run[-1] - run[0]) + 1, similarity))
+                out.append((c, d - c, a, b - a, similarity))
                 break
-            if both >= SIMILARITY * len(own_set) and (gaps := np.diff(far)).max() > 1:
+            if both >= SIMILARITY * n_own and (gaps := far[1:] - far[:-1]).max() > 1:
                 at = int(gaps.argmax()) + 1
-                parts += [far[:at], far[at:]]
+                parts += long(far[:at], far[at:])
         else:
-            gaps = np.diff(run)
+            gaps = run[1:] - run[:-1]
             if gaps.max() > 1:
                 at = int(gaps.argmax()) + 1
-                runs += [run[:at], run[at:]]
+                runs += long(run[:at], run[at:])
     return out
 
 
@@ -441,11 +487,18 @@ def _verified(least: int):
         for tile in common.runs(batches, "tile"):
             is_pair, out = tile.column("center").is_valid(), []
             columns = (tile.filter(pc.invert(is_pair)).column(n).to_pylist() for n in ("region", "doc", "low", "shingles"))
-            held = {r: (doc, low, np.frombuffer(piece, np.uint64)) for r, doc, low, piece in zip(*columns, strict=True)}
-            for member, center in zip(*(tile.filter(is_pair).column(n).to_pylist() for n in ("region", "center")), strict=True):
-                (m_doc, m_low, mine), (c_doc, c_low, theirs) = held[member], held[center]
-                for c, c_size, m, m_size, similarity in matches(theirs, mine, least) if m_doc != c_doc else ():
-                    out.append((member, center, m, m + m_size - 1, c, c + c_size - 1, m_doc, m_low + m, m_size + WIDTH - 1, c_doc, c_low + c, c_size + WIDTH - 1, similarity))
+            held, known = {r: own for r, *own in zip(*columns, strict=True)}, {}
+            for pair in zip(*(tile.filter(is_pair).column(n).to_pylist() for n in ("region", "center")), strict=True):
+                (m_doc, m_low, _), (c_doc, c_low, _) = (held[r] for r in pair)
+                if m_doc == c_doc:
+                    continue
+                for r in pair:
+                    if r not in known:
+                        own = indexed(np.frombuffer(held[r][2], np.uint64))
+                        known[r] = own, fewest(own[2], least)
+                (mine, m_different), (theirs, c_different) = (known[r] for r in pair)
+                for c, c_size, m, m_size, similarity in matched(theirs, mine, max(m_different, c_different), least):
+                    out.append((*pair, m, m + m_size - 1, c, c + c_size - 1, m_doc, m_low + m, m_size + WIDTH - 1, c_doc, c_low + c, c_size + WIDTH - 1, similarity))
             kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, *_FOUND_KINDS)
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], LINK)
 
@@ -477,8 +530,9 @@ def prefixes(order: np.ndarray, row: np.ndarray, least: int) -> np.ndarray:
     """Where, in rows of shingles with a place in one order, a stretch of so many has it and few before it.
 
     These are a fifth, which a copy may lack, and those that are the first of IN_COMMON that the copy has.
-    The order is cut at some shares of each row's shingles, and what comes before the cut counts as before: no
-    place is missed, some more are taken.
+    Different shingles count, which are at most those whose place does not repeat the one just before, and one more
+    where the stretch begins. The order is cut at some shares of each row's shingles, and what comes before the cut
+    counts as before: no place is missed, some more are taken.
     """
     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
     sizes = np.diff(np.append(starts, len(row)))
@@ -486,13 +540,18 @@ def prefixes(order: np.ndarray, row: np.ndarray, least: int) -> np.ndarray:
     again = np.zeros(len(row), bool)  # not the first time that the row holds it; lexsort is stable
     again[by[1:]] = (row[by[1:]] == row[by[:-1]]) & (order[by[1:]] == order[by[:-1]])
     number = np.repeat(np.arange(len(starts)), sizes)
+    gain = np.ones(len(row), np.int64)
+    gain[1:] = (row[1:] != row[:-1]) | (order[1:] != order[:-1])
+    slack = (PER_LOSS + 1) * (in_common(least) - 1) + 1
     out = np.zeros(len(row), bool)
     limits = [order[by[starts + (sizes * share).astype(np.int64)]] for share in CUTS] if len(row) else []
     for i, limit in enumerate(limits):
-        own = order >= limit[number]
+        own = after = order >= limit[number]
         if i + 1 < len(limits):
-            own &= order < limits[i + 1][number]
-        out |= own & (covered((order >= limit[number]) | again, number, least, in_common(least) - 1) if i else True)
+            own = after & (order < limits[i + 1][number])
+        if i:
+            own &= _covered(np.where(after, gain, np.where(again, 0, -PER_LOSS)), number, least, slack)
+        out |= own
     return out
 
 
@@ -513,47 +572,84 @@ def _nodes(least: int):
     return rows
 
 
+def _ends(links: DataFrame) -> DataFrame:
+    """The verified passages of each region as rows (region, low, high)."""
+    ends = [links.select(*(F.col(c).alias(n) for c, n in zip(side, ("region", "low", "high"), strict=True))) for side in SIDES]
+    return ends[0].union(ends[1]).distinct()
+
+
 def _labels(links: DataFrame, parts: int, least: int) -> DataFrame:
     """For each region its verified passages as an array of (low, high, label); passages joined by links have one label."""
-    sides = [("member", "m_low", "m_high"), ("center", "c_low", "c_high")]
-    ends = [links.select(*(F.col(c).alias(n) for c, n in zip(side, ("region", "low", "high"), strict=True))) for side in sides]
-    nodes = ends[0].union(ends[1]).distinct().repartition(parts, "region").sortWithinPartitions("region")
+    nodes = _ends(links).repartition(parts, "region").sortWithinPartitions("region")
     nodes = common.stored(nodes.mapInArrow(_nodes(least), "region long, low int, high int, node long"))
     edges = links
-    for side, name in zip(sides, "ab", strict=True):
+    for side, name in zip(SIDES, "ab", strict=True):
         edges = edges.join(nodes.select(*(F.col(n).alias(c) for c, n in zip(side, ("region", "low", "high"), strict=True)), F.col("node").alias(name)), list(side))
     components = common.connected_components(edges.select("a", "b").distinct())
     labelled = nodes.join(components, "node", "left").select("region", F.struct("low", "high", F.coalesce("component", "node").alias("label")).alias("passage"))
     return common.stored(labelled.groupBy("region").agg(F.collect_list("passage").alias("passages")))
 
 
-def _holders(filters: Broadcast, parts: int, least: int):
-    """Blobs by part of (shingle, region, label, weight) for the prefixes of regions; a label names the passage's class.
+def constant(tokens: np.ndarray, row: np.ndarray, least: int) -> np.ndarray:
+    """What lies in a stretch of at least so many within one row that consists of one shingle."""
+    fresh = np.flatnonzero(np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])])) if len(tokens) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(fresh, len(tokens)))
+    return np.repeat(sizes >= least, sizes)
 
-    What lies between or beside passages and is too short for one has its neighbour's label: a passage that
-    holds some of it overlaps the neighbour.
+
+def _places(filters: Broadcast, parts: int, least: int):
+    """For each region where its prefixes' shingles are, the shingles and their weights.
+
+    Copies that have but one shingle in common consist of it, since they have four fifths of each other's: it has the
+    weight of IN_COMMON in both.
     """
 
     def made(regions: list[tuple]) -> pa.RecordBatch:
         hashes = [np.frombuffer(r[1], np.uint64) for r in regions]
         sizes = [len(h) for h in hashes]
-        labels = [np.full(n, r[0], np.int64) for r, n in zip(regions, sizes, strict=True)]
-        for label, (region, _, passages) in zip(labels, regions, strict=True):
-            within = np.zeros(len(label), bool)
-            for p in sorted(passages or (), key=lambda p: (-p["label"], p["low"])):
-                label[p["low"] : p["high"] + 1], within[p["low"] : p["high"] + 1] = p["label"], True
-            for a, b in _spans(~within) if passages else ():
-                if b - a + 1 < least:
-                    label[a : b + 1] = label[a - 1] if a else label[b + 1]
-        weights = np.array([in_common(least) if np.unique(h, return_counts=True)[1].max() >= REPEATED else 1 for h in hashes], np.uint8)
         tokens, row = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.repeat(np.arange(len(sizes)), sizes)
         keys, level = _keys(tokens, parts), np.zeros(len(tokens), np.uint64)
         for words in filters.value[1:]:
             level += _passes(keys, words)
         at = np.flatnonzero(prefixes(level << np.uint64(62) | tokens >> np.uint64(2), row, least) & _passes(keys, filters.value[0]))
-        entries = np.zeros(len(at), HOLDER)
-        entries["token"], entries["region"], entries["weight"] = tokens[at], np.array([r[0] for r in regions], np.int64)[row[at]], weights[row[at]]
-        entries["label"] = np.concatenate([np.zeros(0, np.int64), *labels])[at]
+        weights = np.where(constant(tokens, row, least), in_common(least), 1).astype(np.uint8)[at]
+        cuts = np.searchsorted(row[at], np.arange(len(sizes) + 1)).tolist()
+        inner, tokens = (at - (np.cumsum(sizes) - sizes)[row[at]]).astype(np.int32) if sizes else at, tokens[at]
+        blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (inner, tokens, weights)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in regions], pa.int64()), pa.array(sizes, pa.int32()), *blobs], PLACES)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(r)
+                size += len(r[1]) // 8
+                if size >= COUNT_AT_ONCE // 4:
+                    yield made(held)
+                    held, size = [], 0
+        yield made(held)
+
+    return rows
+
+
+def _holders(parts: int, least: int):
+    """Blobs by part of (shingle, region, label, weight) for the prefixes of regions; a label names the passage's class.
+
+    What lies between or beside passages and is too short for one has its neighbour's label: a passage that
+    holds some of it overlaps the neighbour.
+    """
+
+    def labelled(region: int, n: int, passages: list[dict] | None) -> np.ndarray:
+        label, within = np.full(n, region, np.int64), np.zeros(n, bool)
+        for p in sorted(passages or (), key=lambda p: (-p["label"], p["low"])):
+            label[p["low"] : p["high"] + 1], within[p["low"] : p["high"] + 1] = p["label"], True
+        for a, b in _spans(~within) if passages else ():
+            if b - a + 1 < least:
+                label[a : b + 1] = label[a - 1] if a else label[b + 1]
+        return label
+
+    def made(held: list[np.ndarray]) -> pa.RecordBatch:
+        entries = np.concatenate([np.zeros(0, HOLDER), *held])
         order, full, cuts = _dealt(entries["token"], parts)
         entries = entries[order]
         blobs = [entries[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -562,9 +658,12 @@ def _holders(filters: Broadcast, parts: int, least: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append(r)
-                size += len(r[1]) // 8
+            for region, n, at, tokens, weights, passages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.zeros(len(weights), HOLDER)
+                own["token"], own["region"], own["weight"] = np.frombuffer(tokens, np.uint64), region, np.frombuffer(weights, np.uint8)
+                own["label"] = labelled(region, n, passages)[np.frombuffer(at, np.int32)]
+                held.append(own)
+                size += len(own)
                 if size >= COUNT_AT_ONCE // 4:
                     yield made(held)
                     held, size = [], 0
@@ -573,11 +672,13 @@ def _holders(filters: Broadcast, parts: int, least: int):
     return rows
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-    """Pairs of different regions with the sum of their weights."""
-    low, high, weight = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y], weight[x != y].astype(np.int64)
-    by = np.lexsort((low, high))
-    low, high, weight = low[by], high[by], weight[by]
+def _pairs(x: np.ndarray, y: np.ndarray, token: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """Pairs of different regions with the sum of their weights, of each shingle's once."""
+    low, high, token, weight = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y], token[x != y], weight[x != y].astype(np.int64)
+    by = np.lexsort((-weight, token, low, high))
+    low, high, token, weight = low[by], high[by], token[by], weight[by]
+    once = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (token[1:] != token[:-1])])) if len(low) else np.zeros(0, np.int64)
+    low, high, weight = low[once], high[once], weight[once]
     first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
     total = np.add.reduceat(weight, first) if len(first) else weight
     return pa.RecordBatch.from_arrays([pa.array(high[first]), pa.array(low[first]), pa.array(total)], ["member", "center", "weight"])
@@ -592,7 +693,7 @@ def _met(turn: int | None):
         del blobs
         if not len(entries):
             return
-        entries = entries[np.lexsort((entries["region"], entries["label"], entries["token"]))]
+        entries = entries[np.lexsort((-entries["weight"].astype(np.int8), entries["region"], entries["label"], entries["token"]))]
         again = np.zeros(len(entries), bool)
         again[1:] = entries[["token", "region", "label"]][1:] == entries[["token", "region", "label"]][:-1]
         entries = entries[~again]
@@ -612,7 +713,7 @@ def _met(turn: int | None):
             theirs = groups[chief[own]] + one.astype(np.int64)
             for a in range(0, len(own), PAIRS_AT_ONCE):
                 x, y = own[a : a + PAIRS_AT_ONCE], theirs[a : a + PAIRS_AT_ONCE]
-                yield _pairs(region[x], region[y], np.maximum(weight[x], weight[y]))
+                yield _pairs(region[x], region[y], token[x], np.minimum(weight[x], weight[y]))
             return
         n = mine - start  # of the same shingle under an earlier label
         ends = np.cumsum(n)
@@ -622,7 +723,7 @@ def _met(turn: int | None):
             b = max(a + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
             x = np.repeat(at[a:b], n[a:b])
             y = np.repeat(start[a:b] - (ends[a:b] - n[a:b]), n[a:b]) + done + np.arange(len(x))
-            yield _pairs(region[x], region[y], np.maximum(weight[x], weight[y]))
+            yield _pairs(region[x], region[y], token[x], np.minimum(weight[x], weight[y]))
             a = b
 
     return rows
@@ -748,10 +849,11 @@ def repeated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tried = [common.stored(pairs)]
     links = [common.stored(_compared(tried[0], regions, parts, least))]
     labels = _labels(links[0], parts, least)
+    places = common.stored(regions.select("region", "shingles").mapInArrow(_places(filters, parts, least), PLACES_SCHEMA))
     for turn in [*range(ROUNDS), None]:
         if turn and links[-1].isEmpty():
             continue
-        held = regions.select("region", "shingles").join(labels, "region", "left").mapInArrow(_holders(filters, parts, least), "part int, blob binary")
+        held = places.join(labels, "region", "left").mapInArrow(_holders(parts, least), "part int, blob binary")
         pairs = held.repartitionById(parts, F.col("part")).mapInArrow(_met(turn), PAIR_SCHEMA)
         pairs = pairs.groupBy("member", "center").agg(F.sum("weight").alias("weight"))
         if turn is None:
@@ -759,9 +861,10 @@ def repeated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pairs = pairs.select("member", "center").join(functools.reduce(DataFrame.union, tried), ["member", "center"], "left_anti")
         tried.append(common.stored(pairs))
         links.append(common.stored(_compared(tried[-1], regions, parts, least)))
-        if not links[-1].isEmpty():
+        if turn is not None and not links[-1].isEmpty():
             labels = _labels(functools.reduce(DataFrame.union, links), parts, least)
-    held = common.stored(regions.join(labels, "region", "left").select("doc", "low", "shingles", "passages"))
+    passages = _ends(functools.reduce(DataFrame.union, links)).groupBy("region").agg(F.collect_list(F.struct("low", "high")).alias("passages"))
+    held = common.stored(regions.join(passages, "region", "left").select("doc", "low", "shingles", "passages"))
     bits = common.stored(held.mapInArrow(_open(least, parts), "level int, n long, blob binary"))
     bits = spark.sparkContext.broadcast(_filters(bits, 1)[0])
     same = held.mapInArrow(_open(least, parts, bits), "part int, blob binary").repartitionById(parts, F.col("part"))
