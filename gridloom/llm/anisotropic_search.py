@@ -16,6 +16,11 @@ vector is indexed. Queries and vectors meet in tiles: a block of a cell is scann
 visit the cell, so vectors are copied for the blocks of these queries alone. What is found depends on the vectors,
 not on the cores.
 
+Codes and visits are fitted on a sample, and on other vectors (dimensions or lengths of very unlike sizes, groups
+closer together than the centres of the codes) they miss near ones. So an exact check follows: a query's k-th score
+so far bounds what it may have missed, and the cells that could hold better by their radius or their longest vector
+are compared with it in double precision. What beats the k-th is added. The answer is that of a comparison of all.
+
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 those whose length is not the most common one (the smaller of equals) or whose vec_id is null; equal
 scores go to the smaller vec_id; a repeated vec_id counts once, with its smallest vector; with fewer than
@@ -24,7 +29,7 @@ k other vectors, all are returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +48,10 @@ ROW_BLOCK, QUERY_BLOCK, RERANK, AT_LEAST = 8192, 4096, 200, 64
 #: Cells at least, vectors of the sample for each cell beyond these, rounds of the fit, queries of the sample that
 #: measure, and the share of near vectors that cells may miss.
 CELLS, CELL_SAMPLE, CELL_ROUNDS, PROBED, MISSED = 16, 32, 8, 512, 0.01
-#: Scores held at once.
-SCORES_AT_ONCE = 1 << 21
+#: Scores held at once, and pairs whose products are summed at once.
+SCORES_AT_ONCE, PAIRS_AT_ONCE = 1 << 21, 1 << 16
+#: Vectors and queries in a block of the check, at most about.
+CHECK_BLOCK = 32768
 
 
 class Cells:
@@ -203,6 +210,43 @@ def scan(quantiser: Quantiser, codes: np.ndarray, rows: np.ndarray, ids: np.ndar
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+def slack(dimensions: int) -> float:
+    """How far two ways of summing a product may be apart, relative to the product of the lengths, with room to spare."""
+    return 4 * (dimensions + 2) * np.finfo(np.float64).eps
+
+
+def may_hold(queries: np.ndarray, least: np.ndarray, centres: np.ndarray, radius: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """queries x cells: whether a cell of this radius, whose vectors are so long at most, may hold a score of least or more."""
+    length = np.linalg.norm(queries, axis=1)[:, None]
+    bound = np.minimum(queries @ centres.T + length * radius, length * longest)
+    room = slack(queries.shape[1]) * length * (np.linalg.norm(centres, axis=1) + radius)
+    return ~(bound < least[:, None] - room)
+
+
+def check(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, last: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the rows before (least, last) in each query's order, the k best; rows are in order of their ids."""
+    # Of equal rows the first k + 1 have k that come before all others, whichever is the query's own.
+    _, same = np.unique(rows.view(f"V{rows.dtype.itemsize * rows.shape[1]}").ravel(), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    turn = np.arange(len(rows)) - np.searchsorted(same[order], same[order])
+    first = np.sort(order[turn <= k])
+    rows, ids = rows[first], ids[first]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, SCORES_AT_ONCE // max(1, len(rows)))
+    room = slack(rows.shape[1]) * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max(initial=0)
+    for a in range(0, len(queries), step):
+        asks, some = np.nonzero(~(queries[a : a + step] @ rows.T < (least - room)[a : a + step, None]))
+        asks += a
+        exact = np.concatenate([np.zeros(0), *(inner_products(rows[some[b : b + PAIRS_AT_ONCE]], queries[asks[b : b + PAIRS_AT_ONCE]]) for b in range(0, len(asks), PAIRS_AT_ONCE))])
+        better = ((exact > least[asks]) | (exact == least[asks]) & (ids[some] < last[asks])) & (ids[some] != query_ids[asks])
+        asks, some, exact = asks[better], some[better], exact[better]
+        order = np.lexsort((some, -exact, asks))
+        asks, some, exact = asks[order], some[order], exact[order]
+        best = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+        out.append((query_ids[asks[best]], ids[some[best]], exact[best]))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
@@ -224,7 +268,6 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, fit: int = FIT)
     common.prepare(spark)
     rows = common.stored(valid(embeddings))
     n = rows.count()
-    schema = "query_id long, vec_id long, score double"
     if rows.where(is_query).isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit).collect()
@@ -235,53 +278,88 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, fit: int = FIT)
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
-                columns = [batch.column("vec_id"), batch.column("asks"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in quantiser.packed(x)], pa.binary()), pa.array(cells.of(x).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "asks", "vector", "codes", "cell"])
+                own = cells.of(x)
+                columns = [batch.column("vec_id"), batch.column("asks"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in quantiser.packed(x)], pa.binary()), pa.array(own.astype(np.int32))]
+                columns += [pa.array(np.linalg.norm(x - cells.centres[own], axis=1)), pa.array(np.linalg.norm(x, axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "asks", "vector", "codes", "cell", "apart", "length"])
 
-    index = rows.withColumn("asks", F.coalesce(is_query, F.lit(False))).mapInArrow(coded, "vec_id long, asks boolean, vector binary, codes binary, cell int")
+    index = rows.withColumn("asks", F.coalesce(is_query, F.lit(False))).mapInArrow(coded, "vec_id long, asks boolean, vector binary, codes binary, cell int, apart double, length double")
     index = common.stored(index)
     common.discard(rows)
 
-    def counted(cell: DataFrame) -> np.ndarray:
-        counts = np.zeros(len(cells.centres), np.int64)
-        for r in cell.groupBy("cell").count().collect():  # a row for each cell
-            counts[r["cell"]] = r["count"]
-        return counts
+    def by_cell(frame: DataFrame, *of: Column) -> list[np.ndarray]:
+        """Aggregates of each cell, 0 where it has no rows."""
+        out = [np.zeros(len(cells.centres)) for _ in of]
+        for r in frame.groupBy("cell").agg(*of).collect():  # a row for each cell
+            for values, value in zip(out, r[1:]):
+                values[r["cell"]] = value
+        return out
+
+    def counted(frame: DataFrame) -> np.ndarray:
+        return by_cell(frame, F.count(F.lit(1)))[0].astype(np.int64)
 
-    sizes = counted(index.select("cell"))
+    sizes, radius, longest = by_cell(index, F.count(F.lit(1)), F.max("apart"), F.max("length"))
+    sizes = sizes.astype(np.int64)
+
+    def lists(many: np.ndarray, visited: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(visited.astype(np.int32)))
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                many, visited = cells.visited(_matrix(batch.column("vector")), sizes, k + 1)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(visited.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), lists], ["vec_id", "vector", "visited"])
-
-    visits = index.where("asks").select("vec_id", "vector").mapInArrow(visiting, "vec_id long, vector binary, visited array<int>")
-    visits = visits.select("vec_id", "vector", F.explode("visited").alias("cell"))
+                visited = lists(*cells.visited(_matrix(batch.column("vector")), sizes, k + 1))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), visited], ["vec_id", "vector", "visited"])
 
     def blocks_of(counts: np.ndarray, size: int) -> Column:
         """By a row's cell, into how many blocks of so many rows the cell's are cut; 0 where there are none."""
         return F.get(F.array(*(F.lit(int(c)) for c in -(-counts // size))), F.col("cell"))
 
-    row_blocks, query_blocks = blocks_of(sizes, ROW_BLOCK), blocks_of(counted(visits.select("cell")), QUERY_BLOCK)
-
     def copied(rows: DataFrame, blocks: Column, name: str) -> DataFrame:
         """A copy of each row for each of its cell's blocks of the other side, if there are any."""
         return rows.where(blocks > 0).withColumn(name, F.explode(F.sequence(F.lit(0), blocks - 1)))
 
-    right = copied(visits, row_blocks, "r").withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), query_blocks).cast("int"))
-    left = copied(index.drop("asks"), query_blocks, "q").withColumn("r", F.pmod(F.xxhash64("vec_id"), row_blocks).cast("int"))
-
-    def tile(block: pa.Table, asked: pa.Table) -> pa.Table:
-        got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if block.num_rows and asked.num_rows:
-            block, asked = block.sort_by("vec_id"), asked.sort_by("vec_id")
-            codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(block.num_rows, -1)
-            got = scan(quantiser, codes, _matrix(block.column("vector")), block.column("vec_id").to_numpy(), _matrix(asked.column("vector")), asked.column("vec_id").to_numpy(), k)
-        return pa.table({"query_id": got[0], "vec_id": got[1], "score": got[2]})
-
-    found = left.groupBy("cell", "r", "q").cogroup(right.groupBy("cell", "r", "q")).applyInArrow(tile, schema)
-    # k rows of each block for each query: the ranking is spread by query.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def met(visits: DataFrame, columns: list[str], row_size: int, query_size: int, tile: Callable[[pa.Table, pa.Table], tuple[np.ndarray, ...]]) -> DataFrame:
+        """What tile gives for the blocks of a cell and of the queries that visit it, both in order of their ids."""
+        visits = visits.withColumn("cell", F.explode("visited")).drop("visited")
+        row_blocks, query_blocks = blocks_of(sizes, row_size), blocks_of(counted(visits.select("cell")), query_size)
+        right = copied(visits, row_blocks, "r").withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), query_blocks).cast("int"))
+        left = copied(index.select("vec_id", "cell", *columns), query_blocks, "q").withColumn("r", F.pmod(F.xxhash64("vec_id"), row_blocks).cast("int"))
+
+        def both(block: pa.Table, asked: pa.Table) -> pa.Table:
+            got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if block.num_rows and asked.num_rows:
+                got = tile(block.sort_by("vec_id"), asked.sort_by("vec_id"))
+            return pa.table({"query_id": got[0], "vec_id": got[1], "score": got[2]})
+
+        return left.groupBy("cell", "r", "q").cogroup(right.groupBy("cell", "r", "q")).applyInArrow(both, "query_id long, vec_id long, score double")
+
+    def scanned(block: pa.Table, asked: pa.Table) -> tuple[np.ndarray, ...]:
+        codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(block.num_rows, -1)
+        return scan(quantiser, codes, _matrix(block.column("vector")), block.column("vec_id").to_numpy(), _matrix(asked.column("vector")), asked.column("vec_id").to_numpy(), k)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        # k rows of each block for each query: the ranking is spread by query.
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asking = index.where("asks").select("vec_id", "vector")
+    found = met(asking.mapInArrow(visiting, "vec_id long, vector binary, visited array<int>"), ["vector", "codes"], ROW_BLOCK, QUERY_BLOCK, scanned)
+    found = common.stored(ranked(found))
+
+    def doubting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                open_ = may_hold(_matrix(batch.column("vector")), batch.column("least").to_numpy(), cells.centres, radius, longest) & (sizes > 0)
+                visited = lists(open_.sum(1), np.nonzero(open_)[1])
+                yield pa.RecordBatch.from_arrays([*batch.columns, visited], [*batch.schema.names, "visited"])
+
+    def checked(block: pa.Table, asked: pa.Table) -> tuple[np.ndarray, ...]:
+        return check(_matrix(block.column("vector")), block.column("vec_id").to_numpy(), _matrix(asked.column("vector")), asked.column("vec_id").to_numpy(), asked.column("least").to_numpy(), asked.column("last").to_numpy(), k)
+
+    # With fewer than k found, nothing is ruled out.
+    kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("asker"), F.col("score").alias("least"), F.col("vec_id").alias("last"))
+    doubts = asking.join(kth, F.col("vec_id") == F.col("asker"), "left")
+    doubts = doubts.select("vec_id", "vector", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.coalesce("last", F.lit((1 << 63) - 1)).alias("last"))
+    missed = met(doubts.mapInArrow(doubting, "vec_id long, vector binary, least double, last long, visited array<int>"), ["vector"], CHECK_BLOCK, CHECK_BLOCK, checked)
+    # The check finds those before the k-th again, with the same scores.
+    return ranked(found.select("query_id", "vec_id", "score").union(missed).repartition("query_id").dropDuplicates(["query_id", "vec_id"]))

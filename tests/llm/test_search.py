@@ -115,6 +115,58 @@ def test_cells_visited_hold_as_many_vectors_as_are_asked_for():
         assert visited[: many[0]].tolist() == want and many[1] == (1 if least < 51 else 4)
 
 
+@pytest.mark.parametrize("kind", ["scales", "tails", "copies"])
+def test_nothing_is_missed_where_the_codes_fit_badly(spark, kind, monkeypatch):
+    """Vectors whose near ones the scan misses, in one block of queries or many: the check finds them, in order."""
+    random = np.random.default_rng(16)
+    x = random.normal(size=(3000, 32))
+    if kind == "scales":
+        x *= 10.0 ** -np.arange(32)
+    if kind == "tails":
+        x = random.standard_t(1, size=(3000, 32))
+    if kind == "copies":
+        x = np.round(np.where(random.random((3000, 1)) < 0.5, x[random.integers(0, 3, 3000)], x) * 64) / 64  # exact products
+    if kind != "copies":
+        monkeypatch.setattr(search, "CHECK_BLOCK", 64)
+    want, got = brute(dict(enumerate(x.tolist()))), found(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), fit=300)
+    assert {q: [v for v, _ in near] for q, near in got.items()} == {q: [v for v, _ in near] for q, near in want.items()}
+
+
+def test_the_check_finds_what_comes_before_the_last_found():
+    random = np.random.default_rng(18)
+    distinct = random.normal(size=(30, 8))
+    pick = random.integers(0, 30, 2000)
+    rows, ids = distinct[pick], np.arange(2000) * 2
+    scores = search.inner_products(np.repeat(rows[:40], 2000, 0), np.tile(rows, (40, 1))).reshape(40, 2000)
+    for place in (0, 3, 19, 700):
+        orders = [[j for j in np.lexsort((ids, -scores[a])) if j != a] for a in range(40)]
+        last = np.array([o[place] for o in orders])
+        got = search.check(rows, ids, rows[:40], ids[:40], scores[np.arange(40), last], ids[last], 20)
+        for a in range(40):
+            own = got[0] == ids[a]
+            assert got[1][own].tolist() == ids[orders[a][:place]].tolist()[:20]
+            assert got[2][own].tolist() == scores[a][orders[a][:place]].tolist()[:20]
+    got = search.check(rows, ids, rows[:2], ids[:2], np.full(2, -np.inf), np.full(2, 1 << 60), 5000)
+    assert len(got[0]) == 2 * 1999
+    assert [len(g) for g in search.check(rows[:0], ids[:0], rows, ids, scores[0], ids, 20)] == [0, 0, 0]
+
+
+def test_no_cell_is_left_out_that_may_hold_better():
+    random = np.random.default_rng(19)
+    for spread in (0.01, 0.3, 3.0):
+        centres = random.normal(size=(20, 16))
+        of = random.integers(0, 19, 3000)
+        x = (centres[of] + random.standard_t(3, (3000, 16)) * spread) * np.where(of < 10, 1, 1e-3)[:, None]
+        apart, length = np.linalg.norm(x - centres[of], axis=1), np.linalg.norm(x, axis=1)
+        radius, longest = (np.array([v[of == c].max(initial=0) for c in range(20)]) for v in (apart, length))
+        scores = x[:200] @ x.T
+        least = np.sort(scores, axis=1)[:, -20]
+        open_ = search.may_hold(x[:200], least, centres, radius, longest)
+        asks, some = np.nonzero(scores >= least[:, None])
+        assert open_[asks, of[some]].all()
+        assert not open_[:, 19].any() and (spread > 1 or open_.mean() < 0.5)
+
+
 @pytest.mark.parametrize("cores", [1, 7])
 def test_the_number_of_cores_changes_nothing(spark, small, cores, monkeypatch):
     df = spark.read.parquet(f"{small}/embeddings.parquet")
